@@ -16,9 +16,17 @@ def as_time(c: str | Column) -> Column:
 
 
 def parse_time(c: str | Column, patterns: list[str] | None = None, general: bool = True) -> Column:
-    """First pattern that parses wins; text that fits none becomes NULL."""
+    """First pattern that parses wins; text that fits none becomes NULL.
+
+    Two-digit years run from 1969 to 2068.
+    """
     text = F.trim(col(c).cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(p)) for p in (TIME_PATTERNS if patterns is None else patterns)]
+    tries = []
+    for p in TIME_PATTERNS if patterns is None else patterns:
+        t = F.try_to_timestamp(text, F.lit(p))
+        if "yyyy" not in p:
+            t = F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
+        tries.append(t)
     if general:
         tries.append(F.try_to_timestamp(text))
     return F.coalesce(*tries)

@@ -53,6 +53,10 @@ def _cells(line: str | Column) -> Column:
     return F.transform(F.split(text, ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
 
 
+def _cells_with(cells: Column, word: str) -> Column:
+    return F.size(F.filter(cells, lambda c: c.contains(word)))
+
+
 def fixed_header(lines: DataFrame, skip: int = plant.PREAMBLE_LINES) -> DataFrame:
     """``(file, header_no)``: the header follows a fixed preamble."""
     return file_heads(lines, skip + 1).where(F.col("line_no") == skip).select(FILE, F.col("line_no").alias("header_no"))
@@ -75,7 +79,7 @@ def best_header(
     """
     words = list(terms or plant.FLOW_HEADER_TERMS)
     low = F.transform(_cells(LINE), F.lower)
-    score = sum((F.size(F.filter(low, lambda c, w=w: c.contains(w))) for w in words), F.lit(0))
+    score = sum((_cells_with(low, w) for w in words), F.lit(0))
     unnamed = F.size(F.filter(low, lambda c: c.startswith("unnamed") | (c == "")))
     timed = F.exists(low, lambda c: c.contains("time"))
     rank = F.when(timed, F.struct(score.alias("s"), (-unnamed).alias("u"), F.col("line_no").alias("k")))
