@@ -1,3 +1,121 @@
-from sensorloom.catalog.base import Catalog
+"""Feature choice, model rows, persistence, evaluation, boosted trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sensorloom import plant
+from sensorloom.catalog.base import Catalog, filled_grid, site_minutes, sql, table
+from sensorloom.functions.numeric import limit_metrics
+from sensorloom.operators import features, model
+from sensorloom.plans.build import modeling_table
 
 CATALOG = Catalog()
+add = CATALOG.add
+
+
+@add("feature_choice")
+def feature_choice(spark, d):
+    """One row per chosen feature with its number of values in the modeling table."""
+    whole = modeling_table(site_minutes(spark, d), "ts")
+    chosen = model.feature_columns(whole)
+    counts = whole.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(chosen)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(chosen)])
+    return counts.select(F.explode(cells).alias("c")).select("c.*")
+
+
+_LED = """led AS (SELECT k, ts, v, y FROM (
+  SELECT k, ts, v, lead(v, 60) OVER (PARTITION BY k ORDER BY ts) AS y, v IS NULL OR v < 400 AS ok FROM filled)
+  WHERE y IS NOT NULL AND ok)"""
+_ROWS = f"""{_LED},
+rows_ AS (SELECT k, ts, v, y, CASE WHEN p < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'
+    WHEN p < CAST(floor(n * 0.85::DOUBLE) AS BIGINT) THEN 'validation' ELSE 'test' END AS model_split
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY k) AS n FROM led)),
+guessed AS (SELECT *, coalesce(v, (SELECT median(y) FROM rows_ WHERE model_split = 'train')) AS guess FROM rows_)"""
+
+
+def _with_rows(text: str) -> str:
+    head, body = text.split("\nSELECT", 1)
+    return f"{head},\n{_ROWS}\nSELECT{body}"
+
+
+def _rows(spark, d):
+    led = features.future_targets(
+        filled_grid(spark, d), "ts", gases={"v": "v"}, raw=[], horizons=[60], limits={"v": 60.0}, keys=["k"]
+    )
+    usable = led.withColumn("ok", (F.col("v").isNull() | (F.col("v") < 400)).cast("int"))
+    rows = model.model_rows(usable, "ts", "v_t_plus_60min", "ok", keys=["k"])
+    return rows.select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "model_split")
+
+
+@add("model_rows", _with_rows(sql("SELECT k, ts, y, model_split FROM rows_", "filled", "y")))
+def model_rows(spark, d):
+    return _rows(spark, d).select("k", "ts", "y", "model_split")
+
+
+@add("persistence_forecast", _with_rows(sql("SELECT k, ts, y, guess FROM guessed", "filled", "y guess")))
+def persistence_forecast(spark, d):
+    return model.with_persistence(_rows(spark, d), "y", "v", name="guess").select("k", "ts", "y", "guess")
+
+
+@add(
+    "forecast_evaluation",
+    _with_rows(
+        sql(
+            """SELECT k, model_split AS split, 'persistence' AS forecaster, count(*) AS n_rows, avg(abs(y - guess)) AS mae,
+                 sqrt(avg((y - guess) ** 2)) AS rmse, 1 - avg((y - guess) ** 2) / nullif(var_pop(y), 0) AS r2,
+                 avg(CAST((y >= 60) = (guess >= 60) AS INT)) AS accuracy,
+                 count(*) FILTER (y >= 60 AND guess >= 60) / nullif(count(*) FILTER (guess >= 60), 0) AS precision,
+                 count(*) FILTER (y >= 60 AND guess >= 60) / nullif(count(*) FILTER (y >= 60), 0) AS recall
+               FROM guessed GROUP BY 1, 2""",
+            "filled",
+            "mae rmse r2 accuracy precision recall",
+        )
+    ),
+)
+def forecast_evaluation(spark, d):
+    rows = model.with_persistence(_rows(spark, d), "y", "v", name="guess").withColumnRenamed("model_split", "split")
+    return model.evaluate(rows, truth="y", guesses={"persistence": "guess"}, limit=60.0, by=["k", "split"])
+
+
+@add(
+    "limit_metrics_on_labels",
+    sql(
+        """SELECT avg(CAST((quality >= 1) = (toxic >= 1) AS INT)) AS accuracy,
+             count(*) FILTER (quality >= 1 AND toxic >= 1) / nullif(count(*) FILTER (toxic >= 1), 0) AS precision,
+             count(*) FILTER (quality >= 1 AND toxic >= 1) / nullif(count(*) FILTER (quality >= 1), 0) AS recall FROM labels""",
+        rounded="accuracy precision recall",
+    ),
+)
+def limit_metrics_on_labels(spark, d):
+    parts = limit_metrics("quality", "toxic", 1.0)
+    return table(spark, d, "labels").agg(*[c.alias(n) for n, c in parts.items()])
+
+
+def _boosted(spark, d):
+    """The forecast table of one site; fewer rounds than the default keep a check run short."""
+    whole = modeling_table(site_minutes(spark, d), "ts").withColumn(
+        "usable", F.col(f"{plant.NH3}_t_plus_60min").isNotNull().cast("int")
+    )
+    chosen = [c for c in model.feature_columns(whole) if c != "usable"]
+    return model.train_target(
+        whole,
+        "ts",
+        target=f"{plant.NH3}_t_plus_60min",
+        current=plant.NH3,
+        valid="usable",
+        name="nh3_t_plus_60min",
+        features=chosen,
+        maxIter=5,
+        maxDepth=4,
+    )
+
+
+@add("boosted_forecast")
+def boosted_forecast(spark, d):
+    return _boosted(spark, d)[1]
+
+
+@add("boosted_forecast_metrics")
+def boosted_forecast_metrics(spark, d):
+    return model.evaluate(_boosted(spark, d)[1], limit=plant.LIMITS["nh3"])
