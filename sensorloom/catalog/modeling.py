@@ -9,6 +9,7 @@ from sensorloom.catalog.base import Catalog, filled_grid, site_minutes, sql, tab
 from sensorloom.functions.numeric import limit_metrics
 from sensorloom.operators import features, model
 from sensorloom.plans.build import modeling_table
+from sensorloom.sources.sinks import settle
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -44,7 +45,8 @@ def _rows(spark, d):
         filled_grid(spark, d), "ts", gases={"v": "v"}, raw=[], horizons=[60], limits={"v": 60.0}, keys=["k"]
     )
     usable = led.withColumn("ok", (F.col("v").isNull() | (F.col("v") < 400)).cast("int"))
-    rows = model.model_rows(usable, "ts", "v_t_plus_60min", "ok", keys=["k"])
+    # the split and the training median read the table again, so it is written once
+    rows = model.model_rows(settle(usable), "ts", "v_t_plus_60min", "ok", keys=["k"])
     return rows.select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "model_split")
 
 

@@ -58,14 +58,14 @@ def dose_mgl_from_gpm(lbs: str | Column, gpm: str | Column) -> Column:
 
 # -------------------------------------------------------------- statistics
 def pearson(a: str | Column, b: str | Column) -> Column:
-    """Pairwise-complete correlation; NULL when either side is constant."""
+    """Pairwise-complete correlation; NULL when either side is constant.
+
+    ``corr`` raises on a constant column under ANSI. Both regression slopes are
+    NULL there, share the pairing of nulls, and their product is the squared correlation.
+    """
     x, y = col(a).cast("double"), col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    # F.corr raises on a constant column under ANSI, hence the explicit form
-    sx, sy = F.stddev_samp(xs), F.stddev_samp(ys)
-    flat = (F.min(xs) == F.max(xs)) | (F.min(ys) == F.max(ys))
-    return F.when(flat, F.lit(None)).otherwise(F.try_divide(F.covar_samp(xs, ys), sx * sy))
+    up, across = F.regr_slope(y, x), F.regr_slope(x, y)
+    return F.signum(up) * F.sqrt(up * across)
 
 
 def error_metrics(truth: str | Column, guess: str | Column) -> dict[str, Column]:

@@ -32,12 +32,14 @@ def spine(df: DataFrame, ts: str, *, keys: Sequence[str] = (), minutes: int = 1)
     """Every bin from the first to the last of each series, made day by day on the executors."""
     t = bin_start(ts, minutes)
     ends = df.groupBy(*[col(k) for k in keys]).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    day = F.expr("INTERVAL 1 DAY")
     width = max(DAY, minutes)
     days = ends.where(F.col("__lo").isNotNull()).withColumn(
         "__day",
         F.explode(F.sequence(bin_start("__lo", width), bin_start("__hi", width), F.expr(f"INTERVAL {width} MINUTES"))),
     )
+    # a day row grows to its minutes, so the day rows are spread first, whatever their key
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = days.repartition(n, *[col(k) for k in keys], F.col("__day"))
     first = F.greatest(F.col("__day"), F.col("__lo"))
     last = F.least(F.col("__day") + F.expr(f"INTERVAL {width - minutes} MINUTES"), F.col("__hi"))
     return days.select(

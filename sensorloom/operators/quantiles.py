@@ -25,7 +25,8 @@ def _cell(v: Column) -> Column:
     lead = F.floor(size / F.pow(F.lit(2.0), power) * F.lit(float(1 << _FINE)))
     code = (power + 1030) * F.lit(1 << (_FINE + 1)) + lead
     code = F.when(size == float("inf"), F.lit(2100 << (_FINE + 1))).otherwise(code)
-    return F.when(size == 0, F.lit(0)).when(v < 0, -code).otherwise(code).cast("long")
+    code = F.when(size == 0, F.lit(0)).when(v < 0, -code).otherwise(code).cast("long")
+    return F.coalesce(code, F.lit(0).cast("long"))
 
 
 def exact_quantiles(
@@ -36,12 +37,16 @@ def exact_quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per group with a column per probability. Nulls are ignored."""
+    """One row per group with a column per probability. Null values and null groups are left out.
+
+    The filters are spelled out and the cell is never null, so every level reads the
+    same shuffled value counts instead of its own copy.
+    """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     group = [col(k) for k in by]
     counts = (
         df.select(*group, col(value).cast("double").alias("__v"))
-        .where(F.col("__v").isNotNull())
+        .dropna(subset=["__v", *[f"`{k}`" for k in by]])
         .groupBy(*group, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
