@@ -11,6 +11,7 @@ from sensorloom.functions.names import fix_spelling
 from sensorloom.operators.clean import clip_time, coerce
 from sensorloom.operators.report import table_range
 from sensorloom.sources import delimited as dl
+from sensorloom.sources.sinks import settle
 from sensorloom.sources.tables import check_optional_table, parse_optional_dates
 
 CATALOG = Catalog()
@@ -52,7 +53,7 @@ def logger_lines(spark, d) -> DataFrame:
 )
 def sensor_log_load(spark, d):
     lines = logger_lines(spark, d)
-    parsed = dl.parse_lines(lines, dl.fixed_header(lines), time_label="Time Stamp", prefix="gas_")
+    parsed = dl.parse_lines(lines, settle(dl.fixed_header(lines)), time_label="Time Stamp", prefix="gas_")
     return coerce(dl.one_per_time(parsed), ["gas_gas_level_ppm", "gas_user"], [])
 
 
@@ -79,7 +80,7 @@ def export_lines(spark, d) -> DataFrame:
 )
 def flow_export_load(spark, d):
     lines = export_lines(spark, d)
-    parsed = dl.one_per_time(dl.parse_lines(lines, dl.best_header(lines), time_label="Time"))
+    parsed = dl.one_per_time(dl.parse_lines(lines, settle(dl.best_header(lines)), time_label="Time"))
     named = fix_spelling(parsed, plant.MISSPELT)
     return coerce(named, [plant.WEST, plant.EAST], [])
 
@@ -94,7 +95,7 @@ def header_row_choice(spark, d):
     best = dl.best_header(exports).withColumn("kind", F.lit("best"))
     marker = dl.marker_header(logs).withColumn("kind", F.lit("marker"))
     default = dl.marker_header(exports).withColumn("kind", F.lit("default"))
-    return best.unionByName(marker).unionByName(default)
+    return best.unionByName(marker).unionByName(default).select("file", "header_no", "kind")
 
 
 def flawed_lines(spark, d) -> DataFrame:
@@ -127,7 +128,7 @@ def flawed_lines(spark, d) -> DataFrame:
 def load_quality_tables(spark, d):
     lines = flawed_lines(spark, d)
     t = dl.quality_tables(
-        lines, dl.best_header(lines), time_label="Time", expected=["Time", "East Sludge Out (GPM)"]
+        lines, settle(dl.best_header(lines)), time_label="Time", expected=["Time", "East Sludge Out (GPM)"]
     )
     bad = t["bad_rows"].groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"))
     presence = t["presence"].select(

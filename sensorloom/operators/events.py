@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom import plant
 from sensorloom.functions.names import col, present
 from sensorloom.operators.joins import around_events, to_long
-from sensorloom.operators.quantiles import exact_quantiles
+from sensorloom.operators.quantiles import exact_quantiles, sorted_quantiles
 from sensorloom.operators.windows import carry
 
 METRICS = ["baseline", "post", "delta", "percent_change", "time_to_min", "persistence", "post_iqr"]
@@ -193,12 +193,13 @@ def strongest_effects(metrics: DataFrame, n: int = 3) -> DataFrame:
 def study_summary(aligned: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Median and quartiles across events for every relative minute.
 
-    Minutes where all events lack a value stay, with null statistics.
+    Minutes where all events lack a value stay, with null statistics. A minute
+    holds one value per event, so no group exceeds its share of the axis.
     """
     axis = [*keys, "chemical", "event_type", "rel_min"]
-    stats = exact_quantiles(aligned, "value", [0.5, 0.25, 0.75], by=axis, names=["median", "q25", "q75"])
-    minutes = aligned.groupBy(*[col(a) for a in axis]).agg(F.count("value").alias("n_values"))
-    return minutes.join(stats, axis, "left").select(*[col(a) for a in axis], "median", "q25", "q75", "n_values")
+    return sorted_quantiles(
+        aligned, "value", [0.5, 0.25, 0.75], by=axis, names=["median", "q25", "q75"], count="n_values"
+    )
 
 
 def pretrend_check(

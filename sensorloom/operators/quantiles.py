@@ -99,3 +99,37 @@ def exact_quantiles(
         return (F.lit(1.0) - share) * side(i, False) + share * side(i, True)
 
     return leaf.groupBy(*group).agg(*[at(i).alias(n) for i, n in enumerate(names)])
+
+
+def sorted_quantiles(
+    df: DataFrame,
+    value: str | Column,
+    probs: Sequence[float],
+    *,
+    by: Sequence[str],
+    names: Sequence[str],
+    count: str | None = None,
+) -> DataFrame:
+    """Exact quantiles of many groups that each hold a small share of the rows.
+
+    One exchange and one spilling sort per group; groups without a value stay, with
+    nulls. For few, large groups use ``exact_quantiles``.
+    """
+    part = Window.partitionBy(*[col(k) for k in by])
+    v = col(value).cast("double")
+    ranked = df.select(
+        *[col(k) for k in by],
+        v.alias("__v"),
+        F.row_number().over(part.orderBy(v.asc_nulls_last())).alias("__row"),
+        F.count(v).over(part).alias("__total"),
+    )
+
+    def at(p: float) -> Column:
+        place = (F.col("__total") - 1) * F.lit(float(p))
+        low = F.max(F.when(F.col("__row") - 1 == F.floor(place), F.col("__v")))
+        high = F.max(F.when(F.col("__row") - 1 == F.ceil(place), F.col("__v")))
+        share = F.max(place - F.floor(place))
+        return (F.lit(1.0) - share) * low + share * high
+
+    extra = [F.max("__total").alias(count)] if count else []
+    return ranked.groupBy(*[col(k) for k in by]).agg(*[at(p).alias(n) for n, p in zip(names, probs, strict=True)], *extra)

@@ -20,15 +20,34 @@ def _rows(cells: Sequence[dict[str, Column]]) -> Column:
     return F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in cell.items()]) for cell in cells]))
 
 
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(i, r)`` for every pair in one scan.
+
+    Pairs are rows of one small aggregate that is combined before the shuffle; the
+    generated code does not grow with the number of pairs.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    found = df.select(F.explode(cells).alias("p")).groupBy("p.i").agg(pearson(F.col("p.x"), F.col("p.y")).alias("r"))
+    frame = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("i"))
+    return frame.join(found, "i", "left")
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Long ``(a, b, r)`` matrix. Each pair is computed once, all pairs in one aggregate."""
     pairs = list(combinations_with_replacement(columns, 2))
-    wide = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append({"a": F.lit(x), "b": F.lit(y), "r": F.col(f"r{i}")})
-    return wide.select(_rows(cells).alias("c")).select("c.a", "c.b", "c.r")
+    sides = F.array(
+        *[
+            F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in sorted({(a, b), (b, a)})])
+            for a, b in pairs
+        ]
+    )
+    out = _pair_correlations(df, pairs).select(F.explode(F.element_at(sides, F.col("i") + 1)).alias("c"), "r")
+    return out.select("c.a", "c.b", "r")
 
 
 def matrix_to_wide(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,9 +61,9 @@ def matrix_to_long(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Correlation of each feature with the target; order by ``abs_r`` at the sink."""
-    wide = df.agg(*[pearson(f, target).alias(f"r{i}") for i, f in enumerate(features)])
-    cells = [{"feature": F.lit(f), "r": F.col(f"r{i}")} for i, f in enumerate(features)]
-    return wide.select(_rows(cells).alias("c")).select("c.feature", "c.r", F.abs(F.col("c.r")).alias("abs_r"))
+    names = F.array(*[F.lit(f) for f in features])
+    out = _pair_correlations(df, [(f, target) for f in features])
+    return out.select(F.element_at(names, F.col("i") + 1).alias("feature"), "r", F.abs(F.col("r")).alias("abs_r"))
 
 
 def lagged_correlation(

@@ -17,6 +17,7 @@ from sensorloom import plant
 from sensorloom.functions.names import tidy_name
 from sensorloom.functions.timekit import parse_time
 from sensorloom.operators.clean import first_per_time
+from sensorloom.sources.sinks import settle
 
 FILE, BLOCK, ORDER, LINE = "file", "block", "seq", "line"
 
@@ -57,17 +58,33 @@ def _cells_with(cells: Column, word: str) -> Column:
     return F.size(F.filter(cells, lambda c: c.contains(word)))
 
 
+def _top_of_file(heads: DataFrame, header_no: Column) -> DataFrame:
+    """``(file, header_no, header, above)`` from head lines.
+
+    ``above`` holds the texts of the header and the lines before it, at most a scan's worth.
+    """
+    lines = F.sort_array(F.collect_list(F.struct("line_no", LINE)))
+    chosen = heads.groupBy(FILE).agg(header_no.cast("int").alias("header_no"), lines.alias("__top"))
+    above = F.transform(F.filter("__top", lambda x: x["line_no"] <= F.col("header_no")), lambda x: x[LINE])
+    found = F.col("header_no").isNotNull()
+    return chosen.select(
+        FILE,
+        "header_no",
+        F.when(found, F.element_at(above, -1)).alias("header"),
+        F.when(found, above).alias("above"),
+    )
+
+
 def fixed_header(lines: DataFrame, skip: int = plant.PREAMBLE_LINES) -> DataFrame:
-    """``(file, header_no)``: the header follows a fixed preamble."""
-    return file_heads(lines, skip + 1).where(F.col("line_no") == skip).select(FILE, F.col("line_no").alias("header_no"))
+    """The header follows a fixed preamble; NULL in shorter files."""
+    return _top_of_file(file_heads(lines, skip + 1), F.max(F.when(F.col("line_no") == skip, F.lit(skip))))
 
 
 def marker_header(lines: DataFrame, marker: str = "ISO time", within: int = plant.MARKER_SCAN_LINES) -> DataFrame:
     """First line among ``within`` that holds the marker and a comma; 0 where none does."""
     hit = F.col(LINE).contains(marker) & F.col(LINE).contains(",")
-    return file_heads(lines, within).groupBy(FILE).agg(
-        F.coalesce(F.min(F.when(hit, F.col("line_no"))), F.lit(0)).alias("header_no")
-    )
+    first = F.coalesce(F.min(F.when(hit, F.col("line_no"))), F.lit(0))
+    return _top_of_file(file_heads(lines, within), first)
 
 
 def best_header(
@@ -83,7 +100,7 @@ def best_header(
     unnamed = F.size(F.filter(low, lambda c: c.startswith("unnamed") | (c == "")))
     timed = F.exists(low, lambda c: c.contains("time"))
     rank = F.when(timed, F.struct(score.alias("s"), (-unnamed).alias("u"), F.col("line_no").alias("k")))
-    return file_heads(lines, within).groupBy(FILE).agg(F.max_by("line_no", rank).alias("header_no"))
+    return _top_of_file(file_heads(lines, within), F.max_by("line_no", rank))
 
 
 def parse_lines(
@@ -93,18 +110,16 @@ def parse_lines(
     time_label: str,
     ts: str = "ts",
     prefix: str = "",
-    scan: int = plant.MARKER_SCAN_LINES,
     keep_bad: bool = False,
 ) -> DataFrame:
-    """Named text columns plus a parsed time. ``headers`` gives the header line of each file.
+    """Named text columns plus a parsed time. ``headers`` gives the header of each file.
 
+    Settle ``headers`` first when the files are large: it is one short row per file.
     The distinct header texts are read by the driver (metadata, one short line per layout).
     With ``keep_bad`` rows without a valid time stay, for quality tables.
     """
-    tops = file_heads(lines, scan).join(headers.where("header_no IS NOT NULL"), FILE).groupBy(FILE).agg(
-        F.max(F.when(F.col("line_no") == F.col("header_no"), F.col(LINE))).alias("__header"),
-        # preamble and header lines are recognised by their text
-        F.collect_set(F.when(F.col("line_no") <= F.col("header_no"), F.col(LINE))).alias("__above"),
+    tops = headers.where("header_no IS NOT NULL").select(
+        FILE, F.col("header").alias("__header"), F.col("above").alias("__above")
     )
     layouts = [r[0] for r in tops.select("__header").distinct().collect()]
     if not layouts:
@@ -113,7 +128,7 @@ def parse_lines(
     width = max(len(n) for n in named.values())
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = (
-        lines.join(tops, FILE)
+        lines.join(tops, FILE)  # preamble and header lines are recognised by their text
         .where(~F.array_contains("__above", F.col(LINE)) & (F.trim(LINE) != ""))
         .withColumn("__c", F.from_csv(LINE, F.lit(schema), {"mode": "PERMISSIVE", "ignoreTrailingWhiteSpace": "true"}))
     )
@@ -161,7 +176,7 @@ def one_per_time(parsed: DataFrame, ts: str = "ts") -> DataFrame:
 def load_sensor_logs(spark: SparkSession, path: str | Sequence[str], prefix: str, ts: str = "ts") -> DataFrame:
     """Gas logger files: fixed preamble, ``Time Stamp`` column, prefixed names, one row per stamp."""
     lines = read_lines(spark, path)
-    parsed = parse_lines(lines, fixed_header(lines), time_label="Time Stamp", ts=ts, prefix=prefix)
+    parsed = parse_lines(lines, settle(fixed_header(lines)), time_label="Time Stamp", ts=ts, prefix=prefix)
     require_times(lines, parsed, ts)
     return one_per_time(parsed, ts)
 
@@ -169,7 +184,7 @@ def load_sensor_logs(spark: SparkSession, path: str | Sequence[str], prefix: str
 def load_flow_exports(spark: SparkSession, path: str | Sequence[str], ts: str = "ts") -> DataFrame:
     """Plant flow exports whose header row is found by its terms."""
     lines = read_lines(spark, path)
-    headers = best_header(lines)
+    headers = settle(best_header(lines))
     if headers.where("header_no IS NULL").limit(1).count():
         raise ValueError("a file has no header row")
     return one_per_time(parse_lines(lines, headers, time_label="Time", ts=ts), ts)
@@ -178,7 +193,7 @@ def load_flow_exports(spark: SparkSession, path: str | Sequence[str], ts: str =
 def load_marked_table(spark: SparkSession, path: str | Sequence[str], marker: str = "ISO time", ts: str = "ts") -> DataFrame:
     """Files whose header is found by a marker text, which is also the time column."""
     lines = read_lines(spark, path)
-    parsed = parse_lines(lines, marker_header(lines, marker), time_label=marker, ts=ts)
+    parsed = parse_lines(lines, settle(marker_header(lines, marker)), time_label=marker, ts=ts)
     return parsed.drop(FILE, BLOCK, ORDER)
 
 
@@ -200,8 +215,7 @@ def quality_tables(lines: DataFrame, headers: DataFrame, *, time_label: str, exp
     table = parse_lines(lines, headers, time_label=time_label, keep_bad=True)
     good = table.where(F.col("ts").isNotNull())
     bad = table.where(F.col("ts").isNull()).select(FILE, LINE)
-    head = file_heads(lines, plant.MARKER_SCAN_LINES).join(headers, FILE).where(F.col("line_no") == F.col("header_no"))
-    head = head.select(FILE, _cells(LINE).alias("cells"))
+    head = headers.where("header_no IS NOT NULL").select(FILE, _cells("header").alias("cells"))
     per_file = good.groupBy(FILE).agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end")
     )
