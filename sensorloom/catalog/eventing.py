@@ -102,7 +102,8 @@ def working_hours_proxy(spark, d):
 
 @add("event_aligned_signal", sql("SELECT * FROM aligned", "aligned", "value"))
 def event_aligned_signal(spark, d):
-    return events.aligned_signal(site_minutes(spark, d), "ts", site_events(spark, d), plant.NH3)
+    site = site_minutes(spark, d)
+    return events.aligned_signal(site, "ts", events.transitions(site, "ts"), plant.NH3)
 
 
 @add(
@@ -115,7 +116,8 @@ def event_aligned_signal(spark, d):
     ),
 )
 def event_relative_slice(spark, d):
-    rel = events.aligned_signal(site_minutes(spark, d), "ts", site_events(spark, d), plant.NH3, drop_missing=True)
+    site = site_minutes(spark, d)
+    rel = events.aligned_signal(site, "ts", events.transitions(site, "ts"), plant.NH3, drop_missing=True)
     return events.rel_between(rel, plant.PRETREND_WINDOW)
 
 
@@ -131,7 +133,8 @@ _METRICS = " ".join(events.METRICS)
     ),
 )
 def event_response_single(spark, d):
-    return events.per_event_metrics(site_minutes(spark, d), "ts", site_events(spark, d))
+    site = site_minutes(spark, d)
+    return events.per_event_metrics(site, "ts", events.transitions(site, "ts"))
 
 
 @add("event_response_median", sql("SELECT * FROM metrics", "metrics", _METRICS))
@@ -171,7 +174,7 @@ def strongest_effects(spark, d):
 
 
 def _study(spark, d):
-    return events.study_summary(events.aligned_signal(site_minutes(spark, d), "ts", site_events(spark, d), plant.NH3))
+    return events.study_summary(event_aligned_signal(spark, d))
 
 
 @add("event_study_summary", sql("SELECT * FROM study", "study", "median q25 q75"))

@@ -47,7 +47,7 @@ def _rows(spark, d):
     usable = led.withColumn("ok", (F.col("v").isNull() | (F.col("v") < 400)).cast("int"))
     # the split and the training median read the table again, so it is written once
     rows = model.model_rows(settle(usable), "ts", "v_t_plus_60min", "ok", keys=["k"])
-    return rows.select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "model_split")
+    return settle(rows.select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "model_split"))
 
 
 @add("model_rows", _with_rows(sql("SELECT k, ts, y, model_split FROM rows_", "filled", "y")))
@@ -57,7 +57,7 @@ def model_rows(spark, d):
 
 @add("persistence_forecast", _with_rows(sql("SELECT k, ts, y, guess FROM guessed", "filled", "y guess")))
 def persistence_forecast(spark, d):
-    return model.with_persistence(_rows(spark, d), "y", "v", name="guess").select("k", "ts", "y", "guess")
+    return model.with_persistence(_rows(spark, d), "y", "v", name="guess", stored=True).select("k", "ts", "y", "guess")
 
 
 @add(
@@ -76,7 +76,7 @@ def persistence_forecast(spark, d):
     ),
 )
 def forecast_evaluation(spark, d):
-    rows = model.with_persistence(_rows(spark, d), "y", "v", name="guess").withColumnRenamed("model_split", "split")
+    rows = model.with_persistence(_rows(spark, d), "y", "v", name="guess", stored=True).withColumnRenamed("model_split", "split")
     return model.evaluate(rows, truth="y", guesses={"persistence": "guess"}, limit=60.0, by=["k", "split"])
 
 

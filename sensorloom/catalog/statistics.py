@@ -177,7 +177,7 @@ def phase_extent(spark, d):
     ),
 )
 def box_summary(spark, d):
-    return stats.box_summary(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice")
+    return stats.box_summary(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", stored=True)
 
 
 @add(
@@ -190,7 +190,7 @@ def box_summary(spark, d):
     ),
 )
 def focused_axis_range(spark, d):
-    return stats.axis_range(table(spark, d, "events"), "value")
+    return stats.axis_range(table(spark, d, "events"), "value", stored=True)
 
 
 @add(
@@ -205,7 +205,7 @@ def exact_quantiles_by_group(spark, d):
     from sensorloom.operators.quantiles import exact_quantiles
 
     return exact_quantiles(
-        table(spark, d, "events"), "value", [0.01, 0.5, 0.99], by=["event_type"], names=["q01", "q50", "q99"]
+        table(spark, d, "events"), "value", [0.01, 0.5, 0.99], by=["event_type"], names=["q01", "q50", "q99"], stored=True
     )
 
 

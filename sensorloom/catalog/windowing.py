@@ -173,6 +173,6 @@ def first_to_last_change(spark, d):
 )
 def first_exceedance(spark, d):
     ev = table(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "value")
-    limit = exact_quantiles(ev, "value", [0.99], names=["limit"])
+    limit = exact_quantiles(ev, "value", [0.99], names=["limit"], stored=True)
     bounded = ev.crossJoin(F.broadcast(limit))  # one row
     return features.first_exceedance(bounded, "ts", "value", F.col("limit"), keys=["k"])

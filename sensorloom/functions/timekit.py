@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ def parse_time(c: str | Column, patterns: list[str] | None = None, general: bool
     text = F.trim(col(c).cast("string"))
     tries = []
     for p in TIME_PATTERNS if patterns is None else patterns:
-        t = F.try_to_timestamp(text, F.lit(p))
+        # a failed parse is an exception inside the JVM, so texts of another shape skip it
+        marks = [m for m in "/-,:" if m in p]
+        fits = reduce(lambda a, b: a & b, [text.contains(m) for m in marks], F.lit(True))
+        t = F.when(fits, F.try_to_timestamp(text, F.lit(p)))
         if "yyyy" not in p:
             t = F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
         tries.append(t)

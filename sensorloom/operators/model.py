@@ -38,10 +38,16 @@ def model_rows(
 
 
 def with_persistence(
-    rows: DataFrame, target: str, current: str, *, split: str = "model_split", name: str = "y_pred_persistence"
+    rows: DataFrame,
+    target: str,
+    current: str,
+    *,
+    split: str = "model_split",
+    name: str = "y_pred_persistence",
+    stored: bool = False,
 ) -> DataFrame:
     """Current value as the forecast; where it is missing, the training median of the target."""
-    middle = exact_quantiles(rows.where(col(split) == "train"), target, [0.5], names=["__mid"])
+    middle = exact_quantiles(rows.where(col(split) == "train"), target, [0.5], names=["__mid"], stored=stored)
     # one row, so the join is a constant
     return (
         rows.join(F.broadcast(middle), F.lit(True), "left")
@@ -97,7 +103,7 @@ def train_target(
     features = list(features or feature_columns(df))
     wanted = dict.fromkeys([*keys, ts, target, current, valid, *features])
     rows = model_rows(df.select(*[col(c) for c in wanted]), ts, target, valid, keys=keys)
-    rows = settle(with_persistence(rows, target, current))
+    rows = with_persistence(settle(rows), target, current, stored=True)
     model = fit_boosted(rows.where(F.col("model_split") == "train"), target, features, **params)
     return model, prediction_table(predict(model, rows, features), ts, target, name, keys=keys)
 

@@ -1,9 +1,12 @@
 """Exact, linearly interpolated quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a group
-is reduced to value counts first and then searched like a radix tree: a coarse
-cell histogram finds the cell of each wanted rank, only the values of that cell
-are split again, and the last step orders at most 2^18 distinct values.
+is searched like a radix tree: a coarse cell histogram finds the cell of each
+wanted rank, only the values of that cell are split again, and the last step
+orders at most 2^18 distinct values.
+
+A stored table is scanned once per level and only histograms are shuffled. A
+derived table is reduced to value counts, which are shuffled once and shared.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.names import col
+from sensorloom.sources.sinks import settle
 
-_FINE, _COARSE = 34, 18  # bits below the leading one; the coarse cell drops 18 of them
+_FINE, _COARSE = 34, 22  # bits below the leading one; the coarse cell drops 22 of them
+_BROADCAST_ROWS = 100_000  # rank requests are under 100 bytes each
 
 
 def _cell(v: Column) -> Column:
@@ -36,20 +41,32 @@ def exact_quantiles(
     *,
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per group with a column per probability. Null values and null groups are left out.
 
-    The filters are spelled out and the cell is never null, so every level reads the
+    Set ``stored`` when ``df`` is a cheap scan: the two rank tables are then made
+    first (small jobs), and broadcast if their counted size allows.
+
+    Otherwise all is lazy. The filters are spelled out and the cell is never null, so every level reads the
     same shuffled value counts instead of its own copy.
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     group = [col(k) for k in by]
-    counts = (
-        df.select(*group, col(value).cast("double").alias("__v"))
-        .dropna(subset=["__v", *[f"`{k}`" for k in by]])
-        .groupBy(*group, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.select(*group, col(value).cast("double").alias("__v")).dropna(
+        subset=["__v", *[f"`{k}`" for k in by]]
     )
+    if stored:
+        counts = counts.withColumn("__n", F.lit(1).cast("long"))
+    else:
+        counts = counts.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+
+    def ranks(t: DataFrame) -> DataFrame:
+        if not stored:
+            return t
+        t = settle(t)
+        return F.broadcast(t) if t.count() <= _BROADCAST_ROWS else t
+
     coded = counts.withColumn("__fine", _cell(F.col("__v"))).withColumn(
         "__cell", F.shiftright(F.col("__fine"), _COARSE)
     )
@@ -78,17 +95,18 @@ def exact_quantiles(
     hit = (F.col("__rank") < F.col("__cum")) & (F.col("__rank") >= F.col("__cum") - F.col("__n"))
     keep = [*group, F.col("__ask.i").alias("__i"), F.col("__ask.up").alias("__up"), "__share"]
     rest = (F.col("__rank") - (F.col("__cum") - F.col("__n"))).alias("__rank")
-    wanted = wanted.where(hit).select(*keep, rest, "__cell")
+    wanted = ranks(wanted.where(hit).select(*keep, rest, "__cell"))
 
     # level 2: only values of the wanted cells, split by fine cell
     ask = [*by, "__i", "__up"]
     part = Window.partitionBy(*[col(k) for k in ask])
     fine = coded.join(wanted, [*by, "__cell"]).groupBy(*[col(k) for k in ask], "__share", "__rank", "__fine")
     fine = fine.agg(F.sum("__n").alias("__n")).withColumn("__cum", F.sum("__n").over(part.orderBy("__fine")))
-    narrowed = fine.where(hit).select(*[col(k) for k in ask], "__share", rest, "__fine")
+    narrowed = ranks(fine.where(hit).select(*[col(k) for k in ask], "__share", rest, "__fine"))
 
     # leaf: order the few values that are left
     leaf = coded.select(*group, "__fine", "__v", "__n").join(narrowed, [*by, "__fine"])
+    leaf = leaf.groupBy(*[col(k) for k in ask], "__share", "__rank", "__v").agg(F.sum("__n").alias("__n"))
     leaf = leaf.withColumn("__cum", F.sum("__n").over(part.orderBy("__v"))).where(hit)
 
     def side(i: int, up: bool) -> Column:

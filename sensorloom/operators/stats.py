@@ -221,10 +221,10 @@ def phase_extent(df: DataFrame, phase: str, day: str) -> DataFrame:
     )
 
 
-def box_summary(df: DataFrame, phase: str, value: str) -> DataFrame:
+def box_summary(df: DataFrame, phase: str, value: str, *, stored: bool = False) -> DataFrame:
     """Quartiles, mean ± SD per phase, and whether a log axis is advised for the whole column."""
     have = df.where(col(phase).isNotNull()).select(col(phase).alias("phase"), col(value).cast("double").alias("v"))
-    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["phase"], names=["q1", "median", "q3"])
+    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["phase"], names=["q1", "median", "q3"], stored=stored)
     basic = have.groupBy("phase").agg(
         F.count("v").alias("n"),
         F.min("v").alias("low"),
@@ -232,7 +232,7 @@ def box_summary(df: DataFrame, phase: str, value: str) -> DataFrame:
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("sd"),
     )
-    middle = exact_quantiles(df, value, [0.5], names=["__mid"])
+    middle = exact_quantiles(df, value, [0.5], names=["__mid"], stored=stored)
     top = df.agg(F.max(col(value).cast("double")).alias("__top"))
     advice = top.crossJoin(F.broadcast(middle)).select((F.col("__top") > 10 * F.col("__mid")).alias("log_axis"))
     return (
@@ -242,9 +242,9 @@ def box_summary(df: DataFrame, phase: str, value: str) -> DataFrame:
     )
 
 
-def axis_range(df: DataFrame, value: str) -> DataFrame:
+def axis_range(df: DataFrame, value: str, *, stored: bool = False) -> DataFrame:
     """Focused range (2 % to 98 % padded by 8 %; NULL without spread) and whether a log axis is allowed."""
-    ends = exact_quantiles(df, value, [0.02, 0.98], names=["lo", "hi"])
+    ends = exact_quantiles(df, value, [0.02, 0.98], names=["lo", "hi"], stored=stored)
     lowest = df.agg(F.min(col(value).cast("double")).alias("m"))
     pad = (F.col("hi") - F.col("lo")) * 0.08
     wide = F.col("hi") > F.col("lo")
