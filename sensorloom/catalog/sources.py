@@ -128,7 +128,7 @@ def flawed_lines(spark, d) -> DataFrame:
 def load_quality_tables(spark, d):
     lines = flawed_lines(spark, d)
     t = dl.quality_tables(
-        lines, settle(dl.best_header(lines)), time_label="Time", expected=["Time", "East Sludge Out (GPM)"]
+        lines, settle(dl.first_cell_header(lines)), time_label="Time", expected=["Time", "East Sludge Out (GPM)"]
     )
     bad = t["bad_rows"].groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"))
     presence = t["presence"].select(

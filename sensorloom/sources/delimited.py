@@ -103,6 +103,12 @@ def best_header(
     return _top_of_file(file_heads(lines, within), F.max_by("line_no", rank))
 
 
+def first_cell_header(lines: DataFrame, label: str = "Time") -> DataFrame:
+    """The first of the two top lines whose first cell is the label; NULL where neither is."""
+    hit = F.element_at(_cells(LINE), 1) == label
+    return _top_of_file(file_heads(lines, 2), F.min(F.when(hit, F.col("line_no"))))
+
+
 def parse_lines(
     lines: DataFrame,
     headers: DataFrame,
@@ -141,11 +147,11 @@ def parse_lines(
         for h, names in named.items():
             if name in names:
                 picks = picks.when(F.col("__header") == h, F.col(f"__c.c{names.index(name)}"))
-        return picks.otherwise(F.lit(None)).alias(name)
+        return picks.otherwise(F.lit(None).cast("string")).alias(name)
 
     table = rows.select(
-        FILE, BLOCK, ORDER, LINE, *[value(n) for n in wanted]
-    ).withColumn(ts, parse_time("__time"))
+        FILE, BLOCK, ORDER, LINE, parse_time(value("__time")).alias(ts), *[value(n) for n in wanted]
+    )
     repeated = F.coalesce(F.trim("__time") == time_label, F.lit(False))
     table = table.where(~repeated).drop("__time")
     return table if keep_bad else table.where(F.col(ts).isNotNull()).drop(LINE)
