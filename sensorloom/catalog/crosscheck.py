@@ -23,29 +23,28 @@ def connect(folder: str):
     return con
 
 
-def rows_of(names, rows):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return [names[i] for i in order], sorted(
-        (tuple(r[i] for i in order) for r in rows), key=lambda r: tuple((v is None, str(type(v)), str(v)) for v in r)
-    )
+def kind(sql_type: str) -> str:
+    """Types that hold the same values count as one."""
+    return {"INTEGER": "BIGINT", "HUGEINT": "not allowed", "FLOAT": "DOUBLE"}.get(sql_type, sql_type)
 
 
 def compare(df, con, text: str) -> str:
-    """Empty when names, row count and all values agree."""
-    got_names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(text)
-    want_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
-    if got_names != want_names:
-        return f"columns {got_names} != {want_names}"
-    if len(got) != len(want):
-        return f"rows {len(got)} != {len(want)}"
-    bad = [
-        (g, w)
-        for g, w in zip(got, want, strict=True)
-        if g != w or any(type(a) is not type(b) for a, b in zip(g, w, strict=True))
+    """Empty when names, types, row count and all values agree; rows are compared as bags."""
+    con.register("got_rows", df.toArrow())
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want_rows AS {text}")
+    shape = [
+        sorted((r[0], kind(r[1])) for r in con.execute(f"DESCRIBE {t}").fetchall()) for t in ("got_rows", "want_rows")
     ]
-    if bad:
-        return f"{len(bad)} of {len(got)} rows differ; columns {got_names}; first {bad[0][0]} != {bad[0][1]}"
+    if shape[0] != shape[1]:
+        return f"shape {shape[0]} != {shape[1]}"
+    n = [con.execute(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("got_rows", "want_rows")]
+    if n[0] != n[1]:
+        return f"rows {n[0]} != {n[1]}"
+    names = ", ".join(f'"{c}"' for c, _ in shape[0])
+    odd = con.execute(f"SELECT {names} FROM got_rows EXCEPT ALL SELECT {names} FROM want_rows").fetchall()
+    if odd:
+        back = con.execute(f"SELECT {names} FROM want_rows EXCEPT ALL SELECT {names} FROM got_rows").fetchall()
+        return f"{len(odd)} of {n[0]} rows differ; columns {names}; first {min(odd, key=str)} != {min(back, key=str)}"
     return ""
 
 

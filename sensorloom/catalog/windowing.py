@@ -167,9 +167,9 @@ def first_to_last_change(spark, d):
 
 @add(
     "first_exceedance",
-    """SELECT e.k, e.ts AS start_ts, e.ts + INTERVAL 2 DAYS AS end_ts FROM (
-         SELECT event_type AS k, min(ts) AS ts FROM events
-         WHERE value > (SELECT quantile_cont(value, 0.99::DOUBLE) FROM events) GROUP BY 1) e""",
+    """SELECT k, ts AS start_ts, ts + INTERVAL 2 DAYS AS end_ts FROM (
+         SELECT event_type AS k, min(ts) FILTER (
+           value > (SELECT quantile_cont(value, 0.99::DOUBLE) FROM events)) AS ts FROM events GROUP BY 1)""",
 )
 def first_exceedance(spark, d):
     ev = table(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "value")
