@@ -140,10 +140,14 @@ def load_quality_tables(spark, d):
 
 @add(
     "time_range_scan",
-    "SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00' AND TIMESTAMP '2024-01-12 23:59'",
+    sql(
+        """SELECT event_id, ts, value FROM events
+           WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00' AND TIMESTAMP '2024-01-12 23:59'""",
+        rounded="value",
+    ),
 )
 def time_range_scan(spark, d):
-    ev = table(spark, d, "events")
+    ev = spark.read.parquet(f"{d}/events.parquet")
     return clip_time(ev, "ts", "2024-01-10 00:00", "2024-01-12 23:59").select("event_id", "ts", "value")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.names import col, present
 from sensorloom.functions.numeric import flag, number
-from sensorloom.functions.timekit import as_time, between_closed, parse_time, shift_minutes
+from sensorloom.functions.timekit import as_time, parse_time, shift_minutes
 
 
 def first_per_time(
@@ -89,9 +89,19 @@ def availability(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def clip_time(df: DataFrame, ts: str, start, end) -> DataFrame:
-    """Rows with ``start <= ts <= end``."""
-    return df.where(between_closed(ts, start, end))
+def clip_time(df: DataFrame, ts: str, start, end, *, date_column: str | None = None) -> DataFrame:
+    """Rows with ``start <= ts <= end``.
+
+    The bounds take the type of the column, so the filter reaches the Parquet scan;
+    clip a naive time column before it is cast. ``date_column`` prunes date partitions too.
+    """
+    kind = df.schema[ts].dataType.simpleString()
+    kind = kind if kind in ("timestamp", "timestamp_ntz", "date") else "timestamp"
+    lo, hi = (F.lit(x).cast("timestamp").cast(kind) for x in (start, end))
+    inside = col(ts).cast(kind).between(lo, hi)
+    if date_column is not None:
+        inside = inside & col(date_column).between(lo.cast("date"), hi.cast("date"))
+    return df.where(inside)
 
 
 def window_bounds(df: DataFrame, ts: str, mode: str = "full", start=None, end=None) -> DataFrame:

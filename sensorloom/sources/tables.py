@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom import plant
-from sensorloom.functions.names import present
+from sensorloom.functions.names import col, present
 from sensorloom.functions.timekit import parse_time
 
 
@@ -21,14 +21,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_parquet(spark: SparkSession, path: str, ts: str | None = None) -> DataFrame | None:
-    """Parquet scan, or None when the path is absent. A naive time column becomes a UTC instant.
+    """Parquet scan, or None when the path is absent. NaN becomes NULL, a naive time a UTC instant.
 
     Rows stay unordered; order is made where a window or a sink needs it.
     """
     if not path_exists(spark, path):
         return None
-    df = spark.read.parquet(path)
-    return df if ts is None else df.withColumn(ts, F.col(f"`{ts}`").cast("timestamp"))
+    df = nan_to_null(spark.read.parquet(path))
+    naive = ts is not None and df.schema[ts].dataType.simpleString() == "timestamp_ntz"
+    return df.withColumn(ts, col(ts).cast("timestamp")) if naive else df
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Aggregates treat NaN as a value, so it must not enter."""
+    doubles = [n for n, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({n: F.nanvl(col(n), F.lit(None)) for n in doubles}) if doubles else df
 
 
 def read_csv(spark: SparkSession, path: str, times: tuple[str, ...] = ()) -> DataFrame | None:
