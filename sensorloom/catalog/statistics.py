@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom import plant
 from sensorloom.catalog.base import Catalog, site_events, site_minutes, sql, table
 from sensorloom.operators import dosing, report, stats
+from sensorloom.operators.quantiles import exact_quantiles
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -202,8 +203,6 @@ def focused_axis_range(spark, d):
     ),
 )
 def exact_quantiles_by_group(spark, d):
-    from sensorloom.operators.quantiles import exact_quantiles
-
     return exact_quantiles(
         table(spark, d, "events"), "value", [0.01, 0.5, 0.99], by=["event_type"], names=["q01", "q50", "q99"], stored=True
     )
@@ -300,7 +299,7 @@ _PROFILE = """SELECT '{p}' AS part, {e} AS slot, count(*) AS n, avg(value) AS va
 )
 def low_flow_profile(spark, d):
     low = F.col("value") / 1000 <= plant.LOW_FLOW_MGD
-    hours, days = stats.phase_profile(table(spark, d, "events"), low, "ts", ["value"])
+    hours, days = stats.hour_and_weekday_profile(table(spark, d, "events"), low, "ts", ["value"])
     return hours.select(F.lit("hour").alias("part"), F.col("hour").alias("slot"), "n", "value_mean", "value_max").unionByName(
         days.select(F.lit("weekday").alias("part"), F.col("weekday").alias("slot"), "n", "value_mean", "value_max")
     )

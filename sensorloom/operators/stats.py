@@ -95,7 +95,6 @@ def lagged_correlation(
     out = wide.select(*[col(k) for k in keys], _rows(cells).alias("c")).select(
         *[col(k) for k in keys], "c.lag", "c.r"
     )
-    peak = F.max_by("lag", F.struct(F.abs(F.col("r")).alias("s"), (-F.col("lag")).alias("t")))
     known = F.when(F.col("r").isNotNull(), F.struct(F.abs(F.col("r")).alias("s"), (-F.col("lag")).alias("t")))
     peak = F.max_by("lag", known).over(Window.partitionBy(*[col(k) for k in keys]))
     return out.withColumn("best", F.coalesce(F.col("lag") == peak, F.lit(False)))
@@ -279,7 +278,9 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     )
 
 
-def phase_profile(df: DataFrame, condition: Column, ts: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def hour_and_weekday_profile(
+    df: DataFrame, condition: Column, ts: str, values: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
     """Counts, means and maxima of the rows that meet a condition, by hour and by weekday (Monday = 0)."""
     rows = df.where(condition)
     aggs = [F.count(F.lit(1)).alias("n")]
