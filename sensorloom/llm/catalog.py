@@ -7,7 +7,7 @@ from importlib import import_module
 
 from sensorloom.llm.common import importable
 
-MODULES = ["op01"]
+MODULES = ["op01", "op07", "op08"]
 
 
 def load() -> tuple[dict, dict]:
