@@ -7,7 +7,7 @@ from importlib import import_module
 
 from sensorloom.llm.common import importable
 
-MODULES = ["op01", "op07", "op08"]
+MODULES = ["op01", "op02", "op07", "op08", "op09"]
 
 
 def load() -> tuple[dict, dict]:

@@ -196,7 +196,7 @@ def identify(docs: DataFrame, samples: Samples, *, text: str = "text", keep: lis
     return given.mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, samples: Samples, *, text: str = "text", lang: str = "lang", least_score: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, samples: Samples, *, text: str = "text", lang: str = "lang", least_score: float = 0.3) -> DataFrame:
     """Documents with a language, all columns; ``lang`` becomes the predicted one.
 
     Rejected are texts without a letter and those whose winner has a score below ``least_score``.
