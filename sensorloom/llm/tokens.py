@@ -7,17 +7,24 @@ by the ``tokenizers`` library and then looked up. Texts with other runs of blank
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: A unit longer than this is encoded but not remembered.
 LONG_UNIT = 64
-#: Distinct units remembered per Python worker, about 90 MB.
-REMEMBERED = 400_000
+#: Distinct units remembered per Python worker, about 130 MB.
+REMEMBERED = 600_000
+#: Fixed value: how the library's byte-level step cuts a text into pieces.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_BESIDE = [p for c in map(chr, range(0x3001)) if c.isspace() for p in (" " + c, c + " ")]
 
 
 @lru_cache(maxsize=4)
@@ -31,32 +38,62 @@ def library(path: str):
     return tokenizer
 
 
+def _ranked(tokenizer):
+    """A ``tiktoken`` encoder with the library tokenizer's own vocabulary, where its ids are its merge order; else None.
+
+    Byte-level merging by lowest id and by merge order are then the same thing, in a third of the time.
+    """
+    import tiktoken
+
+    given = json.loads(tokenizer.to_str())
+    model, before = given["model"], given["pre_tokenizer"]
+    plain = before == {**before, "type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or not plain or given["normalizer"] or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    merges = [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    joined = [model["vocab"].get(m.replace(" ", "")) for m in merges]
+    if joined != list(range(256, 256 + len(merges))):
+        return None
+    octets = sorted(b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r))  # bytes shown as themselves
+    rest = [b for b in range(256) if b not in set(octets)]
+    shown = {chr(b): b for b in octets} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["content"] for t in given["added_tokens"]}
+    ranks = {bytes(shown[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteLevelIds:
     """Ids of texts by a byte-level tokenizer whose pieces take the one space in front of them."""
 
     def __init__(self, path: str):
         self.tokenizer, self.known = library(path), {}
+        self.ranked = _ranked(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def units(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = _CUT.split(text)
+        """The text cut at single spaces. A space beside other blanks, or first or last, makes the careful cut needed."""
+        odd = text[:1] == " " or text[-1:] == " " or any(p in text for p in _BESIDE)
+        parts = _CUT.split(text) if odd else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]]
 
+    def _new(self, units: list[str]) -> Iterator[bytes]:
+        for unit in units:
+            if self.ranked is None or any(s in unit for s in self.special):
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            else:
+                ids = self.ranked.encode_ordinary(unit)
+            yield array("I", ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         cut = [self.units(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        got = {}
-        for a in range(0, len(new), 5_000):
-            part = new[a : a + 5_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                got[unit] = np.array(e.ids, dtype="<u4").tobytes()
-        self.known.update(got)
-        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, units)), dtype="<u4") for units in cut]
-        for unit in got:
+        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        self.known.update(zip(new, self._new(new)))
+        look = self.known.__getitem__
+        ids = [np.frombuffer(b"".join(map(look, units)), dtype="<u4") for units in cut]
+        for unit in new:
             if len(unit) > LONG_UNIT:
                 del self.known[unit]
         return ids
