@@ -41,9 +41,11 @@ def learn(docs: DataFrame, usable: Column, *, text: str = "text", lang: str = "l
     labelled = docs.where(usable & col(lang).isNotNull() & letters.between(1, DOC_CHARS)).select(
         col(lang).cast("string").alias("lang"), F.xxhash64(order).alias("h"), col(text).cast("string").alias("text"), letters.alias("n")
     )
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n").alias("chars"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * LANG_CHARS) / F.col("chars") + F.lit(64.0) / F.col("rows"))
-    drawn = labelled.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_chars")).collect()
+    shares = [(r.lang, min(1.0, 4.0 * LANG_CHARS / r.n_chars + 64.0 / r.n_rows)) for r in counts]
+    # a row per language, of which the driver will hold the training text anyway
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
+    drawn = labelled.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     by_hash = Window.partitionBy("lang").orderBy("h", "text")
     before = F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
     chosen = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < LANG_CHARS)

@@ -34,7 +34,7 @@ QUERIES = {"op6_quality_rules": op6_quality_rules}
 SQL = {
     "op6_quality_rules": f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-    w AS (SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM d),
+    w AS (SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
     e AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
     t AS (SELECT r, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM e WINDOW o AS (PARTITION BY r ORDER BY i)),
     u AS (SELECT r, i, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS twice FROM t),

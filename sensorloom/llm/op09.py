@@ -1,18 +1,20 @@
 """Query of the personal-data operator."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import documents
 from sensorloom.llm.pii import BASE, find_spans, spelled
 
 
+def _number(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = find_spans(documents(spark, folder), keys=["doc_id"])
     base = F.filter("found", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE
-    ]
+    counts = [_number(k).alias(f"n_{k}") for k in BASE]
     return found.select(
         "doc_id",
         *counts,

@@ -191,6 +191,8 @@ def labelers() -> dict[str, Column]:
     for name in KINDS:
         cue = F.when(kind == name, last_word.rlike(f"^(?:{CUES[name]})")).otherwise(cue)
     digits = F.regexp_replace(hit, "[^0-9]", "")
+    telling = F.when(kind.isin("email", "masked_email", "credential", "key"), F.lower(hit)).otherwise(digits)
+    distinct = F.size(F.array_distinct(F.split(telling, "")))
     gazetteer_yes = (
         F.when(kind.isin("email", "masked_email"), F.lower(hit).rlike(rf"[.\])\x20](?:{TOP_DOMAINS})$"))
         .when(kind == "key", hit.rlike(f"^(?:{KEY_HEADS})"))
@@ -207,10 +209,7 @@ def labelers() -> dict[str, Column]:
             before.rlike(r"(?:^|[\s(<\"':,;])$") & after.rlike(r"^(?:$|[\s)>\"',.;:!?])") & (F.length(hit) >= 7),
             before.rlike(r"[\p{L}\p{N}_]$") | after.rlike(r"^[\p{L}\p{N}_]"),
         ),
-        "variety": _vote(
-            hit.rlike("[0-9]") & (F.size(F.array_distinct(F.split(digits, ""))) >= 6),
-            F.size(F.array_distinct(F.split(digits, ""))) <= 2,
-        ),
+        "variety": _vote(distinct >= 6, distinct <= 2),
     }
 
 

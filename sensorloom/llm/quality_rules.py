@@ -36,8 +36,8 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", 1000, low=True),
     Rule("symbols", "n_symbols", "n_words", 50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 100),
-    Rule("repeats", "n_repeat_words", "n_words", 50),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 120),
+    Rule("repeats", "n_repeat_words", "n_words", 120),
 )
 #: Groups with fewer documents take the sketch of their language, and languages with fewer that of all.
 REACH, FEW = 3, 30
