@@ -19,7 +19,7 @@ from sensorloom.llm.common import fresh, slices, texts, with_columns
 #: Labelled rows that the lexicon and the weights are learned from, at most, drawn by a hash of the id.
 SAMPLE = 24_000
 #: A term is in the lexicon if it is in enough toxic documents and its share of toxic ones is high enough.
-LEAST_DOCS, LEAST_SHARE, STEM, MOST_TERMS = 4, 0.9, (3, 6), 4_000
+LEAST_DOCS, LEAST_SHARE, STEM, MOST_TERMS = 4, 0.9, (3, 8), 4_000
 #: Letters from which one edit is allowed in a whole term; shorter terms and stems must be met exactly.
 EDIT_FROM = 5
 #: Words on each side of a hit that make up its context.
@@ -29,15 +29,18 @@ _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
 _TOKEN = re.compile(r"[^\s]+")
 _EDGE = "\"'“”„«»‹›‘’()[]{}<>.,;:!?*|&%#-_=+/\\~`^"
 _QUOTES = "\"“”„«»‹›"
-FEATURES = ("exact", "any exact", "one edit", "any edit", "stem", "any stem", "quoted share", "densest context", "share of words")
+FEATURES = (
+    "exact hits", "best exact", "exact words", "stem hits", "best stem", "stem words", "edit hits", "best edit",
+    "quoted share", "densest context", "share of words", "log words",
+)
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms that are whole words, stems that begin words, and clean words within an edit of a term."""
+    """Whole words and stems that begin words, each with its log odds, and clean words within an edit of a term."""
 
-    terms: tuple[str, ...]
-    stems: tuple[str, ...]
+    terms: tuple[tuple[str, float], ...]
+    stems: tuple[tuple[str, float], ...]
     clean: tuple[str, ...]
 
 
@@ -66,23 +69,23 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.clean = frozenset(lexicon.clean)
         self.child: list[dict[str, int]] = [{}]
-        self.term: list[bool] = [False]
-        self.stem: list[bool] = [False]
+        self.term: list[float] = [0.0]
+        self.stem: list[float] = [0.0]
         self.reach: list[int] = [0]  # length of the longest term below a node
-        for words_, flags in ((lexicon.terms, self.term), (lexicon.stems, self.stem)):
-            for w in words_:
+        for entries, odds in ((lexicon.terms, self.term), (lexicon.stems, self.stem)):
+            for w, weight in entries:
                 at, path = 0, [0]
                 for c in w:
                     if c not in self.child[at]:
                         self.child[at][c] = len(self.child)
                         self.child.append({})
-                        self.term.append(False)
-                        self.stem.append(False)
+                        self.term.append(0.0)
+                        self.stem.append(0.0)
                         self.reach.append(0)
                     at = self.child[at][c]
                     path.append(at)
-                flags[at] = True
-                if flags is self.term:
+                odds[at] = weight
+                if odds is self.term:
                     for p in path:
                         self.reach[p] = max(self.reach[p], len(w))
         self._reset()
@@ -91,7 +94,7 @@ class Matcher:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
-        self.value: list[int] = []
+        self.value: list[tuple[float, float, float]] = []  # log odds: as a term, within an edit, as a stem
         self.begin = self._state(self._closed({(0, 0)}))
 
     def _closed(self, states: set) -> frozenset:
@@ -108,10 +111,10 @@ class Matcher:
             got = self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.step.append({})
-            exact = any(e == 0 and self.term[s] for s, e in states)
-            near = any(e == 1 and self.term[s] and self.reach[s] >= EDIT_FROM for s, e in states)
-            stem = any(e == 0 and self.stem[s] for s, e in states)
-            self.value.append(exact | near << 1 | stem << 2)
+            exact = max((self.term[s] for s, e in states if e == 0), default=0.0)
+            near = max((self.term[s] for s, e in states if e == 1 and self.reach[s] >= EDIT_FROM), default=0.0)
+            stem = max((self.stem[s] for s, e in states if e == 0), default=0.0)
+            self.value.append((exact, near, stem))
         return got
 
     def _next(self, state: int, c: str) -> int:
@@ -127,22 +130,22 @@ class Matcher:
         self.step[state][c] = got = self._state(self._closed(out))
         return got
 
-    def find(self, word: str) -> int:
-        """1 a term, 2 within one edit of a term and not known as a clean word, 4 begins with a stem; else 0."""
-        state, stem = self.begin, 0
+    def find(self, word: str) -> tuple[int, float]:
+        """Kind and log odds: 1 a term, 2 begins with a stem, 3 within an edit of a term and not known as clean; else 0."""
+        state, stem = self.begin, 0.0
         step, value = self.step, self.value
         for c in word:
             to = step[state].get(c)
             state = self._next(state, c) if to is None else to
-            stem |= value[state] & 4
+            stem = max(stem, value[state][2])
             if not self.sets[state]:
-                return stem
-        got = value[state]
-        if got & 1:
-            return 1
+                break
+        exact, near, _ = value[state]
+        if exact:
+            return 1, max(exact, stem)
         if stem:
-            return 4
-        return 2 if got & 2 and word not in self.clean else 0
+            return 2, stem
+        return (3, near) if near and word not in self.clean else (0, 0.0)
 
     def tidy(self) -> None:
         if len(self.sets) > self.KEPT:
@@ -166,15 +169,23 @@ class Scanner:
         new = set(tokens).difference(known)
         for t in new:
             w = words(t)
-            known[t] = self.matcher.find(w[0]) if w and w[0] else 0
-        kinds = list(map(known.__getitem__, tokens))
+            known[t] = (self.matcher.find(w[0]) if w and w[0] else None) or None
+            if known[t] == (0, 0.0):
+                known[t] = None
+        found = list(map(known.__getitem__, tokens))
         for t in new:
             if len(t) > 64:
                 del known[t]
-        if not any(kinds):
-            return [0.0] * len(FEATURES)
-        hits = [i for i, k in enumerate(kinds) if k]
-        exact, near, stem = (sum(1 for i in hits if kinds[i] & b) for b in (1, 2, 4))
+        size = float(np.log1p(len(tokens)))
+        hits = [i for i, k in enumerate(found) if k]
+        if not hits:
+            return [0.0] * (len(FEATURES) - 1) + [size]
+        out = []
+        for kind in (1, 2, 3):
+            of = [found[i][1] for i in hits if found[i][0] == kind]
+            out += [float(np.log1p(len(of))), max(of, default=0.0)]
+            if kind < 3:
+                out.append(float(np.log1p(len({tokens[i].lower().strip(_EDGE) for i in hits if found[i][0] == kind}))))
         quoted = 0
         for i in hits:
             before = " ".join(tokens[max(0, i - CONTEXT) : i]) + " " + tokens[i][:1]
@@ -182,10 +193,7 @@ class Scanner:
             quoted += any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
         at = np.array(hits)
         densest = int((np.searchsorted(at, at + CONTEXT, side="right") - np.arange(len(at))).max())
-        return [
-            float(np.log1p(exact)), float(exact > 0), float(np.log1p(near)), float(near > 0), float(np.log1p(stem)), float(stem > 0),
-            quoted / len(hits), float(np.log(densest)), float(np.sqrt(len(hits) / len(tokens))),
-        ]
+        return [*out, quoted / len(hits), float(np.log(densest)), float(np.sqrt(len(hits) / len(tokens))), size]
 
 
 @lru_cache(maxsize=2)
@@ -200,12 +208,17 @@ def sample(labelled: DataFrame, rows: int = SAMPLE) -> DataFrame:
     return labelled if n <= rows else labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
+def _prefixes(word: str) -> list[str]:
+    return [word[:k] for k in range(STEM[0], min(STEM[1], len(word) - 1) + 1)]
+
+
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
     """From ``(text, y)``: terms, stems and clean neighbours of terms.
 
     A term or stem must be in at least ``LEAST_DOCS`` toxic documents, and ``LEAST_SHARE`` of its documents, weighted as if
-    both classes were equally many, must be toxic. Of stems that begin one another the shortest that passes stays.
-    Documents are counted per word in Spark; the lexicon has at most ``MOST_TERMS`` of each, the most frequent ones.
+    both classes were equally many, must be toxic. A stem carries four words or more. Spark counts documents per word; the
+    prefixes that could pass by the sums over their words are then counted per document. The lexicon has at most
+    ``MOST_TERMS`` of each, the most frequent ones, and ten times as many clean neighbours.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,35 +233,43 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     tox, other = totals.tox or 0, (totals.n or 0) - (totals.tox or 0)
     if not tox or not other:
         return Lexicon((), (), ())
-    per_word = (
-        labelled.select("text", F.col("y").cast("long").alias("y")).mapInArrow(split, "word string, y long")
-        .groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.length("word") <= 40)
-    )
-
-    def telling(df: DataFrame) -> DataFrame:
-        share = (F.col("t") / tox) / (F.col("t") / tox + F.col("c") / other)
-        return df.where((F.col("t") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(F.desc("t"), "word").limit(MOST_TERMS)
-
-    stems = per_word.select(F.explode(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))).alias("k"), "word", "t", "c")
-    stems = stems.where("k < length(word)").groupBy(F.left("word", "k").alias("word")).agg(
-        F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("kinds")
-    )
-    # a stem must carry several words; one long word alone is a term
-    found_stems = [r.word for r in telling(stems.where("kinds >= 4")).collect()]
-    short = set()
-    for s in sorted(found_stems, key=len):
-        if not any(s[:k] in short for k in range(STEM[0], len(s))):
-            short.add(s)
-    terms = [r.word for r in telling(per_word).collect() if not any(r.word[:k] in short for k in range(STEM[0], len(r.word)))]
-    trial = Lexicon(tuple(sorted(terms)), tuple(sorted(short)), ())
+    given = labelled.select("text", F.col("y").cast("long").alias("y"))
+    counts = [F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")]
+    per_word = given.mapInArrow(split, "word string, y long").groupBy("word").agg(*counts).where(F.length("word") <= 40)
+
+    def telling(df: DataFrame, share: float, most: int) -> list[tuple[str, float]]:
+        toxic_share = (F.col("t") / tox) / (F.col("t") / tox + F.col("c") / other)
+        odds = F.log((F.col("t") + 0.5) / (tox + 1)) - F.log((F.col("c") + 0.5) / (other + 1))
+        best = df.where((F.col("t") >= LEAST_DOCS) & (toxic_share >= share)).orderBy(F.desc("t"), "word").limit(most)
+        return [(r.word, round(r.odds, 6)) for r in best.select("word", odds.alias("odds")).collect()]
+
+    lengths = F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))
+    long_enough = per_word.where(F.length("word") > STEM[0])
+    by_prefix = long_enough.select(F.explode(F.transform(lengths, lambda k: F.left("word", k))).alias("word"), "t", "c")
+    sums = by_prefix.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("kinds"))
+    likely = frozenset(w for w, _ in telling(sums.where("kinds >= 4"), 0.6, 10 * MOST_TERMS))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ys = part.column("y").to_pylist()
+            found = [sorted(likely.intersection(*[[p for w in set(words(t)) for p in _prefixes(w)]])) for t in texts(part)]
+            flat = [w for ws in found for w in ws]
+            tox_ = [y for y, ws in zip(ys, found) for _ in ws]
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array(tox_, pa.int64())], names=["word", "y"])
+
+    stems = telling(given.mapInArrow(met, "word string, y long").groupBy("word").agg(*counts), LEAST_SHARE, MOST_TERMS)
+    terms = telling(per_word, LEAST_SHARE, MOST_TERMS)
+    trial = Lexicon(tuple(sorted(terms)), tuple(sorted(stems)), ())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(trial)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column("word").to_pylist() if matcher.find(w) == 2], pa.string())], names=["word"])
+            hits = [matcher.find(w)[0] == 3 for w in b.column("word").to_pylist()]
+            yield b.filter(pa.array(hits, pa.bool_()))
 
-    clean = per_word.where("c > 0").select("word").mapInArrow(near, "word string").collect()  # within an edit of a term
-    return Lexicon(trial.terms, trial.stems, tuple(sorted(r.word for r in clean)))
+    clean = per_word.where("c > 0").select("word", "c").mapInArrow(near, "word string, c long")
+    clean_words = [r.word for r in clean.orderBy(F.desc("c"), "word").limit(10 * MOST_TERMS).collect()]
+    return Lexicon(trial.terms, trial.stems, tuple(sorted(clean_words)))
 
 
 def described(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -273,7 +294,7 @@ def fit_weights(rows: list[tuple[list[float], int]], steps: int = 40) -> tuple[f
     The ridge pulls to a prior in which hits count as toxic, more for exact ones and less inside quotation marks: where
     the labels hold no case of a kind, the prior speaks.
     """
-    prior = np.array([-4.0, 1.0, 3.0, 0.5, 4.5, 1.0, 3.0, -2.0, 0.5, 1.0])
+    prior = np.array([-4.0, 0.5, 0.7, 0.5, 0.3, 0.4, 0.3, 0.3, 0.5, -2.0, 0.3, 1.0, 0.0])
     if not rows:
         return tuple(prior)
     x = np.array([[1.0, *f] for f, _ in rows])
