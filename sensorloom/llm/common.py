@@ -50,15 +50,22 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a copy in the shared ``spark.checkpoint.dir``; a folder is made only if that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, set up for checkpoints; a local session without one gets its own folder."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-"))
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        return folder.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
