@@ -117,7 +117,9 @@ class Parser:
         self.code = np.ones(1 << 16, dtype=np.uint16)
         self.code[seen] = np.arange(2, self.width, dtype=np.uint16)
         tables, base = [], 0
-        self.roots, self.bits = [], []
+        self.roots = []
+        # one price for a phrase in all languages: with its own length a language with little text would look cheap
+        self.bits = float(np.log2(max([2, *map(len, coded)])))
         for c in coded:
             step = suffix_automaton(self.code[c], self.width)
             fails = step < 0
@@ -128,7 +130,6 @@ class Parser:
             to[:, _PAD], ended[:, _PAD] = np.arange(len(step)), 0
             tables.append(((to + base) << 2 | ended).astype(np.int32))
             self.roots.append(base)
-            self.bits.append(float(np.log2(max(len(c), 2))))
             base += len(step)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
 
@@ -162,7 +163,7 @@ class Parser:
         lettered = [bool(len(c)) and any(ch.isalpha() for ch in t) for c, t in zip(coded, docs)]
         if not self.langs:
             return [UNKNOWN] * len(docs), np.zeros(len(docs))
-        cost = self.phrases(coded) * np.array(self.bits)[None, :]
+        cost = self.phrases(coded) * self.bits
         best = cost.argmin(axis=1)  # ties: the first in the order of names
         gap = np.minimum(cost - cost.min(axis=1, keepdims=True), 1000.0)
         score = np.where(lettered, 1.0 / np.exp2(-gap).sum(axis=1), 0.0)

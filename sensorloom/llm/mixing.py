@@ -256,7 +256,8 @@ def mixture(docs: DataFrame, mix: Mix, *, doc_id: str, source: str, text: str, k
     hi = F.least(F.col("stream_at") + F.col("size"), (F.col("b") + 1) * mix.block)
     pieces = touched.select("m_no", "b", "stream_at", (lo - F.col("b") * mix.block).alias("in_block"), (lo - F.col("stream_at")).alias("first"), (hi - lo).alias("n"))
     drawn = slots(spark, plan, mix)
-    met = pieces.join(drawn, (pieces.m_no == drawn.source_no) & (pieces.b == drawn.block_no))
+    # the size of the slot table is known only when it is made, so it is never planned as a small side
+    met = pieces.join(drawn.hint("merge"), (pieces.m_no == drawn.source_no) & (pieces.b == drawn.block_no))
     words = F.least(F.col("n"), F.col("take") - F.col("in_block"))
     taken = met.where("take > in_block").select(
         F.col("m_no").alias("t_no"), F.col("stream_at").alias("t_at"), "round", "first", words.alias("words"), "shard", "slot"
@@ -304,7 +305,8 @@ def mixed(
     runs = taken.groupBy("t_no", "t_at", "round").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs")
     )
-    met = rows.join(runs, (rows.m_no == runs.t_no) & (rows.stream_at == runs.t_at))
+    worded = rows.where("size > 0")  # a row without words begins where the next one does
+    met = worded.join(runs, (worded.m_no == runs.t_no) & (worded.stream_at == runs.t_at))
     body = f"k_{text}"
     given = met.select(
         *[F.col(f"k_{c}") for c in docs.columns],

@@ -17,8 +17,8 @@ from sensorloom.functions.names import col
 from sensorloom.llm.common import fresh, slices, texts, with_columns
 from sensorloom.llm.tokens import LONG_UNIT, library
 
-#: Distinct units whose counts a Python worker remembers, and token pairs whose fit it remembers.
-REMEMBERED, PAIRS = 700_000, 300_000
+#: Distinct units, and words, whose counts a Python worker remembers, and token pairs whose fit it remembers.
+REMEMBERED, PAIRS = 600_000, 400_000
 
 
 class PrefixCounts:
@@ -50,12 +50,15 @@ class PrefixCounts:
         self.never = len(pairs)
         self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}  # the first merge that makes it
         self.whole = {w for w in self.vocab if self._is_token(w)}
+        self.inner = {w for w in self.whole if not (self.end and w.endswith(self.end))}
+        self.closing = {w.removesuffix(self.end) for w in self.whole if w.endswith(self.end)}
         self.longest = max(len(w.removesuffix(self.end) if self.end else w) for w in self.whole)
         octets = sorted(b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r))
         rest = [b for b in range(256) if b not in set(octets)]
         self.shown = {b: chr(b) for b in octets} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, int] = {}
+        self.words_known: dict[str, int] = {}
 
     # -------------------------------------------------------------- pieces
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -107,22 +110,45 @@ class PrefixCounts:
             self.fits[a, b] = ok
         return ok
 
-    def word(self, word: str) -> list[int]:
-        """Counts at each byte prefix (from 0) of one word in its shown form, each prefix closed as a word."""
-        n, end, whole, fit = len(word), self.end, self.whole, self._fit
+    def word(self, word: str, full: bool = True) -> list[int]:
+        """Counts at each byte prefix (from 0) of one word in its shown form, each prefix closed as a word.
+
+        Not ``full``: closed only as a whole; the open rows are the same.
+        """
+        n, end, inner, closing, fits, most = len(word), self.end, self.inner, self.closing, self.fits, self.longest
         open_count, closed, last = [0] * (n + 1), [0] * (n + 1), [""] * (n + 1)
         for i in range(1, n + 1):
-            shut, going = True, i < n
-            for j in range(max(0, i - self.longest), i):
-                token = word[j:i]
-                if going and token in whole and (not j or fit(last[j], token)):
-                    last[i], open_count[i], going = token, open_count[j] + 1, False
-                if shut and token + end in whole and (not j or fit(last[j], token + end)):
-                    closed[i], shut = open_count[j] + 1, False
-                if not (shut or going):
-                    break
+            first = i - most if i > most else 0
+            if i < n:
+                for j in range(first, i):
+                    token = word[j:i]
+                    if token in inner:
+                        pair = last[j], token
+                        ok = fits.get(pair) if j else True
+                        if ok or (ok is None and self._fit(*pair)):
+                            last[i], open_count[i] = token, open_count[j] + 1
+                            break
+            if full or i == n:
+                for j in range(first, i):
+                    token = word[j:i]
+                    if token in closing:
+                        pair = last[j], token + end
+                        ok = fits.get(pair) if j else True
+                        if ok or (ok is None and self._fit(*pair)):
+                            closed[i] = open_count[j] + 1
+                            break
         return closed
 
+    def word_total(self, word: str) -> int:
+        """The last entry of its table, remembered."""
+        got = self.words_known.get(word)
+        if got is None:
+            shown = word if word.isascii() and word.isprintable() else "".join([self.shown[b] for b in word.encode()])
+            got = self.word(shown, full=False)[-1]
+            if len(word) <= LONG_UNIT:
+                self.words_known[word] = got
+        return got
+
     # --------------------------------------------------------------- texts
     def unit(self, unit: str) -> list[int]:
         """Counts at each prefix (from 0) of a unit of normalised text."""
@@ -153,12 +179,15 @@ class PrefixCounts:
         """Tokens of a unit of raw text."""
         if any(s in unit for s in self.special):
             return len(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        return self.unit(self.normal(unit))[-1]
+        total = self.word_total
+        return sum([total(w) for w in self.words.findall(self.normal(unit))])
 
     def totals(self, docs: list[str]) -> list[np.ndarray]:
         """Tokens of each space-separated unit of each text; blanks part words, so units are independent."""
         if len(self.known) > REMEMBERED:
             self.known = {}
+        if len(self.words_known) > REMEMBERED:
+            self.words_known = {}
         cut = [t.split(" ") for t in docs]
         new = set().union(*cut).difference(self.known)
         self.known.update((u, self.total(u)) for u in new)
