@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task turns into objects at a time.
 SLICE_BYTES = 2 << 20
+#: Bytes of one batch sent to a Python worker.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package from a source checkout, whatever folder the driver was started in."""
+    """Let Python workers find this package from a source checkout, whatever folder the driver was started in.
+
+    Where the session has the default limit for the batches that they get, it becomes ``BATCH_BYTES``: documents are long.
+    """
+    if spark.conf.get(_LIMIT) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(_LIMIT, BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -124,7 +124,7 @@ class Parser:
             step = suffix_automaton(self.code[c], self.width)
             fails = step < 0
             root = step[0].copy()
-            ended = np.where(fails, np.where(root < 0, 2, 1)[None, :], 0)
+            ended = np.where(fails, np.where(root < 0, 2, 1).astype(np.int32)[None, :], np.int32(0))
             ended[0] = np.where(fails[0], 1, 0)
             to = np.where(fails, np.maximum(root, 0)[None, :], step)
             to[:, _PAD], ended[:, _PAD] = np.arange(len(step)), 0
@@ -170,7 +170,7 @@ class Parser:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(samples: Samples) -> Parser:
     return Parser(samples)
 

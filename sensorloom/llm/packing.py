@@ -156,13 +156,17 @@ def pack(
             arrays = [pa.array(cols[0], type=id_type), *[pa.array(c, type=pa.int64()) for c in cols[1:]]]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for part in slices(batches):
-            id_type = part.column("doc_id").type
-            rows = zip(part.column("doc_id").to_pylist(), encoder.encode(texts(part)), part.column("lead").to_pylist())
-            for key, ids, lead_ids in rows:
-                packer.add(key, np.append(ids, np.uint32(end_id)).astype("<u4"), min(max(lead_ids or 0, 0), len(ids) + 1))
-            if packer.out:
-                yield batch()
+        try:
+            for part in slices(batches):
+                id_type = part.column("doc_id").type
+                rows = zip(part.column("doc_id").to_pylist(), encoder.encode(texts(part)), part.column("lead").to_pylist())
+                for key, ids, lead_ids in rows:
+                    own = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    packer.add(key, own, min(max(lead_ids or 0, 0), len(own)))
+                if packer.out:
+                    yield batch()
+        finally:  # a worker outlives its task and then serves other stages
+            encoder.known = {}
         packer.pack()
         if packer.out:
             yield batch()
