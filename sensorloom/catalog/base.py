@@ -13,6 +13,7 @@ from sensorloom.functions.timekit import bin_start
 from sensorloom.operators.events import transitions
 from sensorloom.operators.grid import fill_gaps, minute_grid
 from sensorloom.session import prepare
+from sensorloom.sources.tables import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 NUDGE = 1e-10
@@ -66,9 +67,11 @@ def presentable(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    ts = TIMES.get(name)
-    return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts else df
+    path = f"{folder}/{name}.parquet"
+    df = read_parquet(spark, path, TIMES.get(name))
+    if df is None:
+        raise FileNotFoundError(path)
+    return df
 
 
 # ----------------------------------------------------------- shared inputs

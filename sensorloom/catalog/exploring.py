@@ -11,7 +11,7 @@ add = CATALOG.add
 
 @add(
     "explorer_top_rows",
-    """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC LIMIT 200""",
+    """SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200""",
 )
 def explorer_top_rows(spark, d):
     return report.top_rows(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus"], sort="o_totalprice")
@@ -20,17 +20,17 @@ def explorer_top_rows(spark, d):
 @add(
     "latest_z_scores",
     sql(
-        """SELECT ts, v, z_score FROM (SELECT ts, v, CASE WHEN n >= 144 AND sd > 0 THEN (v - mean) / sd END AS z_score FROM (
-             SELECT ts, v, count(v) OVER o AS n, avg(v) OVER o AS mean, stddev_samp(v) OVER o AS sd FROM filled WHERE k = 'click'
-             WINDOW o AS (ORDER BY ts ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW)))
-           WHERE z_score IS NOT NULL ORDER BY ts DESC LIMIT 5000""",
+        """SELECT k, ts, v, z_score FROM (SELECT k, ts, v, CASE WHEN n >= 144 AND sd > 0 THEN (v - mean) / sd END AS z_score FROM (
+             SELECT k, ts, v, count(v) OVER o AS n, avg(v) OVER o AS mean, stddev_samp(v) OVER o AS sd FROM filled
+             WINDOW o AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW)))
+           WHERE z_score IS NOT NULL ORDER BY ts DESC, k LIMIT 5000""",
         "filled",
         "v z_score",
     ),
 )
 def latest_z_scores(spark, d):
-    one = filled_grid(spark, d).where("k = 'click'").drop("k")
-    return report.latest_rows(features.zscore(one, "ts", "v").where("z_score IS NOT NULL"), "ts")
+    scored = features.zscore(filled_grid(spark, d), "ts", "v", keys=["k"]).where("z_score IS NOT NULL")
+    return report.latest_rows(scored.select("k", "ts", "v", "z_score"), "ts", ties=["k"])
 
 
 @add(

@@ -103,10 +103,10 @@ def anomalies(spark, d):
 
 @add(
     "top_anomalies",
-    sql(f"SELECT * FROM ({_Z}) WHERE abs(z_score) >= 3 ORDER BY abs(z_score) DESC, ts LIMIT 500", "filled", "v z_score"),
+    sql(f"SELECT * FROM ({_Z}) WHERE abs(z_score) >= 3 ORDER BY abs(z_score) DESC, ts, k LIMIT 500", "filled", "v z_score"),
 )
 def top_anomalies(spark, d):
-    return features.by_severity(features.anomalies(filled_grid(spark, d), "ts", "v", keys=["k"]), "ts").limit(500)
+    return features.by_severity(features.anomalies(filled_grid(spark, d), "ts", "v", keys=["k"]), "ts", ties=["k"]).limit(500)
 
 
 _CUT = """CASE WHEN p < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'

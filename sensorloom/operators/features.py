@@ -77,8 +77,9 @@ def anomalies(
     return zscore(df, ts, value, window, keys=keys).where(F.abs(F.col("z_score")) >= threshold)
 
 
-def by_severity(found: DataFrame, ts: str) -> DataFrame:
-    return found.orderBy(F.abs(F.col("z_score")).desc(), col(ts))
+def by_severity(found: DataFrame, ts: str, *, ties: Sequence[str] = ()) -> DataFrame:
+    """Largest deviation first, then the earliest, then by ``ties``."""
+    return found.orderBy(F.abs(F.col("z_score")).desc(), col(ts), *[col(c) for c in ties])
 
 
 def calendar(df: DataFrame, ts: str) -> DataFrame:

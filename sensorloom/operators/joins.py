@@ -16,14 +16,16 @@ from sensorloom.operators.windows import DAY, carry
 def outer_merge(tables: Sequence[DataFrame], ts: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Full outer merge on the time stamp with one shuffle.
 
-    Each table has one row per stamp; equal value names keep the first table's column.
+    Each table has one row per stamp; a row without a time fails the job when it runs, so none is lost in silence.
+    Equal value names keep the first table's column: rename the others before where they are wanted.
     """
     names: list[str] = []
     parts = []
     for t in tables:
         fresh = [n for n in t.columns if n not in names and n not in (*keys, ts)]
         names += fresh
-        parts.append(t.where(col(ts).isNotNull()).select(*[col(n) for n in (*keys, ts, *fresh)]))
+        timed = F.when(col(ts).isNull(), F.raise_error(F.lit(f"a row has no {ts}"))).otherwise(col(ts)).alias(ts)
+        parts.append(t.select(*[col(k) for k in keys], timed, *[col(n) for n in fresh]))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return stacked.groupBy(*[col(k) for k in keys], col(ts)).agg(
         *[F.first(col(n), ignorenulls=True).alias(n) for n in names]

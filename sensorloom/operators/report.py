@@ -108,15 +108,22 @@ def chemistry_review(df: DataFrame) -> DataFrame:
     return fixed.unionByName(measured)
 
 
-def top_rows(df: DataFrame, columns: Sequence[str], *, sort: str | None = None, n: int = 200) -> DataFrame:
-    """Chosen columns, largest first, at most ``n`` rows: a top-k, not a full sort."""
-    out = df.orderBy(col(sort).desc_nulls_last()) if sort else df
-    return out.select(*[col(c) for c in columns]).limit(n)
+def top_rows(
+    df: DataFrame, columns: Sequence[str], *, sort: str | None = None, n: int = 200, ties: Sequence[str] | None = None
+) -> DataFrame:
+    """Chosen columns, largest first, at most ``n`` rows: a top-k, not a full sort.
+
+    ``ties`` (default: the chosen columns) settle which of equal rows stay.
+    """
+    order = [col(sort).desc_nulls_last()] if sort else []
+    order += [col(c).asc_nulls_last() for c in (columns if ties is None else ties)]
+    return df.orderBy(*order).select(*[col(c) for c in columns]).limit(n)
 
 
-def latest_rows(df: DataFrame, ts: str, n: int = 5000) -> DataFrame:
-    """The last ``n`` rows by time."""
-    return df.orderBy(col(ts).desc()).limit(n)
+def latest_rows(df: DataFrame, ts: str, n: int = 5000, *, ties: Sequence[str] | None = None) -> DataFrame:
+    """The last ``n`` rows by time; ``ties`` (default: the other columns) settle equal times."""
+    rest = [c for c in df.columns if c != ts] if ties is None else ties
+    return df.orderBy(col(ts).desc(), *[col(c).asc_nulls_last() for c in rest]).limit(n)
 
 
 def dataset_status(tables: dict[str, DataFrame | None], coverage: dict[str, str] | None = None) -> DataFrame:

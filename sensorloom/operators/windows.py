@@ -149,9 +149,11 @@ def row_position(
     total: str = "total",
     span: int = DAY,
     same_rows: DataFrame | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """0-based chronological position of each row, and the row count of its series.
 
+    Rows of one time stand in the order of ``ties``.
     ``same_rows`` is an earlier table with the same keys and times; the bucket
     counts are then taken there instead of from the whole plan behind ``df``.
     """
@@ -166,7 +168,7 @@ def row_position(
         F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__offset"),
         F.sum("__n").over(by_key).alias(total),
     )
-    order = Window.partitionBy(*_cols(keys), F.col(_B)).orderBy(col(ts))
+    order = Window.partitionBy(*_cols(keys), F.col(_B)).orderBy(col(ts), *_cols(ties))
     numbered = work.withColumn("__row", F.row_number().over(order))
     return (
         numbered.join(offsets, [*keys, _B])
@@ -186,10 +188,11 @@ def chronological_split(
     column: str = "split",
     span: int = DAY,
     same_rows: DataFrame | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """train / validation / test by position; the cuts are ``int(n * share)`` in doubles."""
     placed = row_position(
-        df, ts, keys=keys, position="__pos", total="__total", span=span, same_rows=same_rows
+        df, ts, keys=keys, position="__pos", total="__total", span=span, same_rows=same_rows, ties=ties
     )
     n = F.col("__total").cast("double")
     return placed.withColumn(

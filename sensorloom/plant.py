@@ -117,5 +117,6 @@ OPTIONAL_TABLES = {
 }
 OPTIONAL_DATE_COLUMNS = ["timestamp", "date", "sample_time", "sample_date"]
 TIME_CANDIDATES = ["ISO time", "Datetime", "Time Stamp", "Time"]
+EVENT_METRICS = ["baseline", "post", "delta", "percent_change", "time_to_min", "persistence", "post_iqr"]
 
 assert math.isclose(LBS_PER_GAL, 7.596072)

@@ -1,8 +1,10 @@
 """Logger and plant exports: delimited text whose header row moves.
 
 Files are read as splittable text, so one large file is many tasks. Only the
-first lines of each file are looked at for the header (a per-file top-k), and
-the header is joined back to the lines; no data line reaches the driver.
+first lines of each file are looked at for the header (a per-file top-k). The
+header rows, one short row per file, meet the lines by a broadcast once they are
+counted, so the lines themselves aren't shuffled; what stands up to the header
+is skipped by its position. No data line reaches the driver.
 Fields are parsed once into the widest layout, then named per distinct header.
 """
 
@@ -20,6 +22,10 @@ from sensorloom.operators.clean import first_per_time
 from sensorloom.sources.sinks import settle
 
 FILE, BLOCK, ORDER, LINE = "file", "block", "seq", "line"
+#: Header rows are broadcast up to this many files; beyond it the join is the planner's.
+BROADCAST_FILES = 20_000
+#: Lines after the header in which a file's first valid time is looked for before the whole file is.
+TIME_SCAN_LINES = 64
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -44,7 +50,7 @@ def file_heads(lines: DataFrame, n: int) -> DataFrame:
         lines.where(F.col(BLOCK) == 0)
         .withColumn("line_no", F.row_number().over(order))
         .where(F.col("line_no") <= n)
-        .select(FILE, (F.col("line_no") - 1).alias("line_no"), LINE)
+        .select(FILE, (F.col("line_no") - 1).alias("line_no"), ORDER, LINE)
     )
 
 
@@ -59,19 +65,16 @@ def _cells_with(cells: Column, word: str) -> Column:
 
 
 def _top_of_file(heads: DataFrame, header_no: Column) -> DataFrame:
-    """``(file, header_no, header, above)`` from head lines.
-
-    ``above`` holds the texts of the header and the lines before it, at most a scan's worth.
-    """
-    lines = F.sort_array(F.collect_list(F.struct("line_no", LINE)))
+    """``(file, header_no, header, header_seq)`` from head lines: the header's number, text and place."""
+    lines = F.sort_array(F.collect_list(F.struct("line_no", LINE, ORDER)))
     chosen = heads.groupBy(FILE).agg(header_no.cast("int").alias("header_no"), lines.alias("__top"))
-    above = F.transform(F.filter("__top", lambda x: x["line_no"] <= F.col("header_no")), lambda x: x[LINE])
+    row = F.element_at(F.filter("__top", lambda x: x["line_no"] == F.col("header_no")), 1)
     found = F.col("header_no").isNotNull()
     return chosen.select(
         FILE,
         "header_no",
-        F.when(found, F.element_at(above, -1)).alias("header"),
-        F.when(found, above).alias("above"),
+        F.when(found, row[LINE]).alias("header"),
+        F.when(found, row[ORDER]).alias("header_seq"),
     )
 
 
@@ -90,14 +93,14 @@ def marker_header(lines: DataFrame, marker: str = "ISO time", within: int = plan
 def best_header(
     lines: DataFrame, terms: Sequence[str] | None = None, within: int = plant.HEADER_SCAN_LINES
 ) -> DataFrame:
-    """Among lines with a "time" cell: most expected terms, fewest unnamed cells, then the lowest line.
+    """Among lines with a "time" cell: most expected terms, fewest cells called unnamed, then the lowest line.
 
     A file without such a line gets a NULL header.
     """
     words = list(terms or plant.FLOW_HEADER_TERMS)
     low = F.transform(_cells(LINE), F.lower)
     score = sum((_cells_with(low, w) for w in words), F.lit(0))
-    unnamed = F.size(F.filter(low, lambda c: c.startswith("unnamed") | (c == "")))
+    unnamed = F.size(F.filter(low, lambda c: c.startswith("unnamed")))
     timed = F.exists(low, lambda c: c.contains("time"))
     rank = F.when(timed, F.struct(score.alias("s"), (-unnamed).alias("u"), F.col("line_no").alias("k")))
     return _top_of_file(file_heads(lines, within), F.max_by("line_no", rank))
@@ -109,6 +112,13 @@ def first_cell_header(lines: DataFrame, label: str = "Time") -> DataFrame:
     return _top_of_file(file_heads(lines, 2), F.min(F.when(hit, F.col("line_no"))))
 
 
+def positional_names(headers: DataFrame, expected: Sequence[str] = tuple(plant.FLOW_EXPORT_COLUMNS)) -> DataFrame:
+    """The first cells of each header under the expected names, by position; cells beyond them go."""
+    names = ",".join(expected)
+    wide = F.size(_cells("header")) >= len(expected)
+    return headers.withColumn("header", F.when(wide, F.lit(names)).otherwise(F.col("header")))
+
+
 def parse_lines(
     lines: DataFrame,
     headers: DataFrame,
@@ -122,20 +132,24 @@ def parse_lines(
 
     Settle ``headers`` first when the files are large: it is one short row per file.
     The distinct header texts are read by the driver (metadata, one short line per layout).
+    Lines of the first block up to the header are skipped by position, whatever they hold.
     With ``keep_bad`` rows without a valid time stay, for quality tables.
     """
     tops = headers.where("header_no IS NOT NULL").select(
-        FILE, F.col("header").alias("__header"), F.col("above").alias("__above")
+        FILE, F.col("header").alias("__header"), F.col("header_seq").alias("__seq")
     )
-    layouts = [r[0] for r in tops.select("__header").distinct().collect()]
+    per_layout = tops.groupBy("__header").count().collect()
+    layouts = [r[0] for r in per_layout]
     if not layouts:
         raise ValueError("no file has a header")
+    if sum(r[1] for r in per_layout) <= BROADCAST_FILES:
+        tops = F.broadcast(tops)
     named = {h: _layout(h, time_label, prefix) for h in sorted(layouts)}
     width = max(len(n) for n in named.values())
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = (
-        lines.join(tops, FILE)  # preamble and header lines are recognised by their text
-        .where(~F.array_contains("__above", F.col(LINE)) & (F.trim(LINE) != ""))
+        lines.join(tops, FILE)
+        .where(((F.col(BLOCK) > 0) | (F.col(ORDER) > F.col("__seq"))) & (F.trim(LINE) != ""))
         .withColumn("__c", F.from_csv(LINE, F.lit(schema), {"mode": "PERMISSIVE", "ignoreTrailingWhiteSpace": "true"}))
     )
     wanted: dict[str, None] = {}
@@ -182,8 +196,9 @@ def one_per_time(parsed: DataFrame, ts: str = "ts") -> DataFrame:
 def load_sensor_logs(spark: SparkSession, path: str | Sequence[str], prefix: str, ts: str = "ts") -> DataFrame:
     """Gas logger files: fixed preamble, ``Time Stamp`` column, prefixed names, one row per stamp."""
     lines = read_lines(spark, path)
-    parsed = parse_lines(lines, settle(fixed_header(lines)), time_label="Time Stamp", ts=ts, prefix=prefix)
-    require_times(lines, parsed, ts)
+    headers = settle(fixed_header(lines))
+    parsed = parse_lines(lines, headers, time_label="Time Stamp", ts=ts, prefix=prefix)
+    require_times(lines, headers, parsed, ts, time_label="Time Stamp")
     return one_per_time(parsed, ts)
 
 
@@ -196,6 +211,16 @@ def load_flow_exports(spark: SparkSession, path: str | Sequence[str], ts: str =
     return one_per_time(parse_lines(lines, headers, time_label="Time", ts=ts), ts)
 
 
+def load_positional_exports(spark: SparkSession, path: str | Sequence[str], ts: str = "ts") -> DataFrame:
+    """Plant exports whose header is one of the first two lines; the first cells get the expected names by position.
+
+    A file without such a header gives no row here; ``quality_tables`` names it.
+    """
+    lines = read_lines(spark, path)
+    headers = settle(positional_names(first_cell_header(lines)))
+    return one_per_time(parse_lines(lines, headers, time_label=plant.FLOW_EXPORT_COLUMNS[0], ts=ts), ts)
+
+
 def load_marked_table(spark: SparkSession, path: str | Sequence[str], marker: str = "ISO time", ts: str = "ts") -> DataFrame:
     """Files whose header is found by a marker text, which is also the time column."""
     lines = read_lines(spark, path)
@@ -203,12 +228,21 @@ def load_marked_table(spark: SparkSession, path: str | Sequence[str], marker: st
     return parsed.drop(FILE, BLOCK, ORDER)
 
 
-def require_times(lines: DataFrame, parsed: DataFrame, ts: str) -> None:
-    """Fail when a file has no valid time at all. Compares file lists only."""
-    good = parsed.where(F.col(ts).isNotNull()).select(FILE).distinct()
-    empty = lines.select(FILE).distinct().join(good, FILE, "left_anti").limit(1).collect()
-    if empty:
-        raise ValueError(f"no valid time in {empty[0][0]}")
+def require_times(lines: DataFrame, headers: DataFrame, parsed: DataFrame, ts: str, *, time_label: str) -> None:
+    """Fail when a file has no valid time at all.
+
+    Looks at the first lines after each header; only files without a valid time there are read in full.
+    """
+    scan = plant.PREAMBLE_LINES + 1 + TIME_SCAN_LINES
+    tops = parse_lines(file_heads(lines, scan).withColumn(BLOCK, F.lit(0)), headers, time_label=time_label, ts=ts)
+    early = tops.select(FILE).distinct()
+    open_files = [r[0] for r in headers.select(FILE).join(early, FILE, "left_anti").limit(BROADCAST_FILES + 1).collect()]
+    if open_files:
+        late = parsed if len(open_files) > BROADCAST_FILES else parsed.where(F.col(FILE).isin(open_files))
+        files = headers.select(FILE).join(early, FILE, "left_anti")
+        empty = files.join(late.select(FILE).distinct(), FILE, "left_anti").limit(1).collect()
+        if empty:
+            raise ValueError(f"no valid time in {empty[0][0]}")
 
 
 def quality_tables(lines: DataFrame, headers: DataFrame, *, time_label: str, expected: Sequence[str]) -> dict[str, DataFrame]:

@@ -71,6 +71,14 @@ def check_optional_table(df: DataFrame, title: str) -> DataFrame:
     )
 
 
+def _typed_metrics(df: DataFrame | None) -> DataFrame | None:
+    """Event metrics with numbers, as they are when computed."""
+    if df is None:
+        return None
+    kinds = {**dict.fromkeys(plant.EVENT_METRICS, "double"), "n_events": "bigint"}
+    return df.withColumns({c: col(c).try_cast(kinds[c]) for c in present(df, list(kinds))})
+
+
 @dataclass
 class FrameSet:
     """The tables an analysis works on; absent ones are None."""
@@ -109,6 +117,6 @@ def load_frames(
         daily=read_parquet(spark, f"{folder}/daily"),
         monthly=read_parquet(spark, f"{folder}/monthly"),
         weekday=read_parquet(spark, f"{folder}/weekday"),
-        event_metrics=read_csv(spark, f"{folder}/event_metrics"),
+        event_metrics=_typed_metrics(read_csv(spark, f"{folder}/event_metrics")),
         side_tables=side,
     )

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from sensorloom.catalog import load
 from sensorloom.catalog.crosscheck import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = load().queries, load().sql
 
 
 @pytest.fixture(scope="module")

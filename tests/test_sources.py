@@ -7,6 +7,8 @@ from sensorloom import plant
 from sensorloom.functions.names import first_of_each_name, tidy_name
 from sensorloom.functions.timekit import parse_time
 from sensorloom.operators import dosing, report, rollup
+from sensorloom.operators.joins import outer_merge
+from sensorloom.operators.windows import row_position
 from sensorloom.plans.analysis import Analysis
 from sensorloom.sources import delimited as dl
 from sensorloom.sources import sinks, tables
@@ -44,6 +46,38 @@ def test_file_without_a_valid_time_is_an_error(spark, tmp_path):
         dl.load_sensor_logs(spark, path, "h2s_")
 
 
+def test_first_valid_time_far_below_the_header(spark, tmp_path):
+    rows = [*["never,x,1,1"] * 200, '"9-12-2025, 7-22-54 AM",x,1.5,70']
+    path = write(tmp_path, a=gas_file(rows), b=gas_file(['"9-12-2025, 8-22-54 AM",x,2.5,70']))
+    assert dl.load_sensor_logs(spark, path, "h2s_").count() == 2
+
+
+def test_data_lines_equal_to_lines_above_the_header_stay(spark, tmp_path):
+    first = "2025-09-12 07:00:00,5"
+    path = write(tmp_path, a="\n".join([first, first, "Time,East Sludge Out (GPM)", first, "2025-09-12 07:01:00,6"]) + "\n")
+    got = pandas_of(dl.load_flow_exports(spark, path), ["ts"])
+    assert got["ts"].astype(str).tolist() == ["2025-09-12 07:00:00", "2025-09-12 07:01:00"]
+    assert got.iloc[:, 1].tolist() == ["5", "6"]
+
+
+def test_header_rows_reach_the_lines_without_a_shuffle_of_them(spark, tmp_path):
+    lines = dl.read_lines(spark, write(tmp_path, a=gas_file(['"9-12-2025, 7-22-54 AM",x,1.5,70'])))
+    headers = sinks.settle(dl.fixed_header(lines))
+    plan = dl.parse_lines(lines, headers, time_label="Time Stamp")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_positional_names(spark, tmp_path):
+    names = plant.FLOW_EXPORT_COLUMNS
+    other = ["Time", *[f"tag {i}" for i in range(1, len(names))]]
+    row = ",".join(["2025-09-12 07:00:00", *map(str, range(1, len(names)))])
+    late = ",".join(["2025-09-12 07:01:00", *map(str, range(1, len(names))), "more"])
+    path = write(tmp_path, a=f"{','.join(other)}\n{row}\n", b=f"export\n{','.join([*other, 'extra'])}\n{late}\n")
+    got = pandas_of(dl.load_positional_exports(spark, path), ["ts"])
+    assert len(got) == 2 and got.shape[1] == len(names)
+    assert got.iloc[:, 1:].values.tolist() == [[str(i) for i in range(1, len(names))]] * 2
+
+
 def test_large_file_in_many_blocks_has_one_header(spark, tmp_path):
     stamps = pd.date_range("2025-09-12", periods=4000, freq="1min")
     rows = [f'"{t.month}-{t.day}-{t.year}, {t.hour % 12 or 12}-{t.minute:02d}-{t.second:02d} {"AM" if t.hour < 12 else "PM"}",x,{i},70'
@@ -177,3 +211,16 @@ def test_json_sink_and_review(spark, tmp_path):
     assert got["HCl solution feed context"]["status"] == "Missing in current window"
     assert got["Ferric dose intensity"]["median"] == pytest.approx(1.5)
     assert dosing.fixed_chemistry(spark.range(1)).first()["pH_fixed"] == 7.0
+
+
+def test_outer_merge_refuses_rows_without_a_time(spark):
+    a = spark.sql("SELECT timestamp'2025-01-01 00:00:00' ts, 1 v UNION ALL SELECT NULL, 2")
+    b = spark.sql("SELECT timestamp'2025-01-01 00:00:00' ts, 3 w")
+    with pytest.raises(Exception, match="a row has no ts"):
+        outer_merge([a, b], "ts").collect()
+
+
+def test_equal_times_are_split_in_the_order_of_the_ties(spark):
+    df = spark.range(10).selectExpr("timestamp'2025-01-01 00:00:00' ts", "9 - id AS id")
+    got = row_position(df, "ts", ties=["id"]).select("id", "position").collect()
+    assert all(r["id"] == r["position"] for r in got) and len(got) == 10
