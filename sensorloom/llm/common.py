@@ -78,7 +78,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Zero-copy runs of rows with about ``SLICE_BYTES`` of text each; a longer text is a run of its own."""
+    """Zero-copy runs of rows with about ``SLICE_BYTES`` of text each; a longer text is a run of its own.
+
+    After the last one, memory that Arrow holds in reserve is given back: the worker stays and serves other stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -87,6 +90,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
