@@ -31,8 +31,8 @@ BASE = {
 }
 #: Further candidates: kind and pattern; where two could start at one place, the first kind counts.
 EXTRA = {
-    "credential": r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?[^\s\"']{6,200}[\"']?",
-    "key": r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9]|AKIA)[A-Z]{2,6}[A-Z0-9]{14,60}(?![A-Za-z0-9])",
+    "credential": r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?[^\s\"']{6,}+[\"']?",
+    "key": r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9]|AKIA)[A-Z]{2,6}[A-Z0-9]{14,}+(?![A-Za-z0-9])",
     "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\.|[\[(]dot[\])])[\x20]?[A-Za-z0-9-]{2,63}){1,4}",
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

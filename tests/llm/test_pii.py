@@ -80,6 +80,17 @@ def test_further_spans_and_redaction(odd, none):
     assert find_spans(none, keys=["doc_id"]).count() == 0 and redact(none).count() == 0
 
 
+def test_long_secrets_vanish_whole(given):
+    rng = random.Random(5)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789-_."
+    token = "eyJhbGciOi" + "".join(rng.choice(letters) for _ in range(490))
+    key = "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(96))
+    docs = given([(1, f"before token={token} after"), (2, f"aws key {key} after"), (3, f'before password: "{token}" after'), (4, "AKIA" + "A" * 400_000 + "b")])
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got[1] == "before [CREDENTIAL] after" and got[2] == "aws key [KEY] after" and got[3] == "before [CREDENTIAL] after"
+    assert len(got[4]) == 400_005
+
+
 def test_query_on_a_table(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
