@@ -17,7 +17,8 @@ from sensorloom.functions.names import col
 from sensorloom.llm.common import fresh, slices, texts, with_columns
 
 UNKNOWN = "und"
-#: Labelled text per language: whole documents of at most ``DOC_CHARS`` characters until ``LANG_CHARS`` are reached.
+#: Labelled text per language: documents of at most ``DOC_CHARS`` characters, then the beginnings of longer ones, until
+#: ``LANG_CHARS`` are reached.
 LANG_CHARS, DOC_CHARS = 24_000, 4_000
 #: Documents are parsed in blocks of this many characters; a phrase ends with its block.
 BLOCK = 512
@@ -32,24 +33,38 @@ class Samples:
     texts: tuple[str, ...]
 
 
-def learn(docs: DataFrame, usable: Column, *, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Samples:
-    """Draw the training text: documents where ``usable``, in the order of a hash of their id, whole.
+def learn(docs: DataFrame, usable: Column, *, text: str = "text", lang: str = "lang") -> Samples:
+    """Draw the training text: distinct texts of documents where ``usable``, in the order of a hash of the text.
 
-    Counts per language set a hash threshold, so that about a thousand rows per language reach the ranking.
+    Whole documents come first. Where those of a language don't fill ``LANG_CHARS``, the first ``DOC_CHARS`` characters
+    of its longer ones follow, so each language with a labelled text is learned. Counts of distinct texts set a hash
+    threshold, so that about a thousand rows per language reach the ranking; copies share a hash and are merged.
     """
-    letters = F.length(col(text).cast("string"))
-    labelled = docs.where(usable & col(lang).isNotNull() & letters.between(1, DOC_CHARS)).select(
-        col(lang).cast("string").alias("lang"), F.xxhash64(order).alias("h"), col(text).cast("string").alias("text"), letters.alias("n")
+    given = col(text).cast("string")
+    piece = F.substring(given, 1, DOC_CHARS)
+    labelled = docs.where(usable & col(lang).isNotNull() & (F.length(given) >= 1)).select(
+        col(lang).cast("string").alias("lang"),
+        (F.length(given) > DOC_CHARS).alias("long"),
+        F.xxhash64(piece).alias("h"),
+        piece.alias("text"),
+        F.length(piece).alias("n"),
     )
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_chars")).collect()
-    shares = [(r.lang, min(1.0, 4.0 * LANG_CHARS / r.n_chars + 64.0 / r.n_rows)) for r in counts]
-    # a row per language, of which the driver will hold the training text anyway
-    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
-    drawn = labelled.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    distinct = labelled.groupBy("lang", "long", "h").agg(F.max("n").alias("n"))
+    counts = distinct.groupBy("lang", "long").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_chars")).collect()
+    whole = {r.lang: r.n_chars for r in counts if not r.long}
+    shares = [
+        (r.lang, r.long, min(1.0, 4.0 * LANG_CHARS / r.n_chars + 64.0 / r.n_rows))
+        for r in counts
+        if not r.long or whole.get(r.lang, 0) < LANG_CHARS
+    ]
+    # a row or two per language, of which the driver will hold the training text anyway
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share double"))
+    drawn = labelled.join(share, ["lang", "long"]).where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    drawn = drawn.select("lang", "long", "h", "text", "n").distinct()
+    by_hash = Window.partitionBy("lang").orderBy("long", "h", "text")
     before = F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
     chosen = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < LANG_CHARS)
-    rows = chosen.orderBy("lang", "h", "text").select("lang", "text").collect()
+    rows = chosen.orderBy("lang", "long", "h", "text").select("lang", "text").collect()
     langs = sorted({r.lang for r in rows})
     return Samples(tuple(langs), tuple("\n".join(r.text for r in rows if r.lang == g) for g in langs))
 

@@ -48,6 +48,20 @@ def test_learning_and_odd_rows(odd, none):
     assert accept(none, samples).count() == 0
 
 
+def test_long_documents_and_copies(plain):
+    long = [(i, f"{i} " + "der hund und die katze schlafen auf dem warmen sofa im haus " * 90, "de") for i in range(3)]
+    copies = [(10 + i, "the same words over and over again", "en") for i in range(40)]
+    other = [(60 + i, f"the dog number {i} sleeps in the warm house", "en") for i in range(5)]
+    docs = plain([*long, *copies, *other], "doc_id long, text string, lang string")
+    samples = learn(docs, F.lit(True))
+    assert samples.langs == ("de", "en")
+    de, en = samples.texts
+    assert len(de) == 3 * 4000 + 2 and de.count("schlafen") > 100
+    assert en.count("over and over") == 1 and en.count("the dog number") == 5
+    got = {r.doc_id: r.lang_pred for r in identify(docs, samples, keep=["doc_id"]).collect()}
+    assert got[0] == "de" and got[10] == "en"
+
+
 def test_held_out_accuracy(spark):
     from sensorloom.llm.op07 import op7_language_id
 
