@@ -95,21 +95,15 @@ def limit_metrics_on_labels(spark, d):
 
 
 def _boosted(spark, d):
-    """The forecast table of one site; fewer rounds than the default keep a check run short."""
-    whole = modeling_table(site_minutes(spark, d), "ts").withColumn(
-        "usable", F.col(f"{plant.NH3}_t_plus_60min").isNotNull().cast("int")
-    )
-    chosen = [c for c in model.feature_columns(whole) if c != "usable"]
+    """The forecast table of one site, at the default boosting settings on the rows that M2 calls valid."""
+    whole = modeling_table(site_minutes(spark, d), "ts")
     return model.train_target(
         whole,
         "ts",
         target=f"{plant.NH3}_t_plus_60min",
         current=plant.NH3,
-        valid="usable",
+        valid="model_row_valid_60min",
         name="nh3_t_plus_60min",
-        features=chosen,
-        maxIter=5,
-        maxDepth=4,
     )
 
 

@@ -94,9 +94,11 @@ def train_target(
     features: Sequence[str] | None = None,
     keys: Sequence[str] = (),
     **params,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[PipelineModel | None, DataFrame]:
     """Fit one target and return the model with its prediction table.
 
+    Without a training row there is no model: it is None and its forecasts are NULL.
+
     The model rows are written once to the checkpoint folder: boosting reads them
     many times, and a lost executor then costs no more than one re-read.
     """
@@ -104,7 +106,10 @@ def train_target(
     wanted = dict.fromkeys([*keys, ts, target, current, valid, *features])
     rows = model_rows(df.select(*[col(c) for c in wanted]), ts, target, valid, keys=keys)
     rows = with_persistence(settle(rows), target, current, stored=True)
-    model = fit_boosted(rows.where(F.col("model_split") == "train"), target, features, **params)
+    train = rows.where(F.col("model_split") == "train")
+    if train.isEmpty():
+        return None, prediction_table(rows.withColumn("y_pred_model", F.lit(None).cast("double")), ts, target, name, keys=keys)
+    model = fit_boosted(train, target, features, **params)
     return model, prediction_table(predict(model, rows, features), ts, target, name, keys=keys)
 
 

@@ -126,6 +126,18 @@ def test_features_leak_nothing_and_training_runs(spark):
     assert len(metrics) == 6 and metrics["mae"].gt(0).all()
 
 
+def test_boosted_queries_use_the_defaults_and_valid_rows(monkeypatch):
+    from sensorloom.catalog import modeling
+
+    seen = {}
+    monkeypatch.setattr(modeling, "site_minutes", lambda spark, d: None)
+    monkeypatch.setattr(modeling, "modeling_table", lambda df, ts: None)
+    monkeypatch.setattr(modeling.model, "train_target", lambda df, ts, **given: seen.update(given))
+    modeling._boosted(None, "")
+    assert seen["valid"] == "model_row_valid_60min" and seen.keys().isdisjoint(plant.BOOSTING)
+    assert (plant.BOOSTING["maxIter"], plant.BOOSTING["maxDepth"]) == (300, 6)
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 4.0)], "y double, p double")
     row = df.agg(*[c.alias(n) for n, c in {**error_metrics("y", "p"), **limit_metrics("y", "p", 4.5)}.items()]).first()
