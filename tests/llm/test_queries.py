@@ -11,7 +11,7 @@ QUERIES, SQL = load()
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and set(QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
+    assert len(QUERIES) == 13 and set(QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -20,7 +20,7 @@ def test_query(spark, name):
     assert len(got)
     if name in SQL:
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "labels"):
+        for t in ("documents", "embeddings", "labels", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{FOLDER}/{t}.parquet')")
         want = con.sql(SQL[name]).df()
         cols = sorted(got.columns)
