@@ -22,7 +22,7 @@ def _crc_table() -> list[int]:
 def crc32_sql(text: str) -> str:
     """CRC-32 of a text of ASCII characters in DuckDB's SQL."""
     octets = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
-    step = f"lambda a, x: xor(a >> 8, {_crc_table()}::BIGINT[][(xor(a, x) & 255) + 1])"
+    step = f"lambda a, x: xor(a >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), (xor(a, x) & 255) + 1))"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295)"
 
 
