@@ -45,7 +45,7 @@ SQL = {
     n AS (SELECT conv_id, max(i) AS n FROM ways GROUP BY conv_id),
     best AS (SELECT w.conv_id, w.cost + ins.paid AS cost, w.audit || ins.letters AS audit, w.lines || ins.lines AS lines
         FROM ways w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i JOIN ins ON ins.q = w.q AND ins.p IN ('', 'a')
-        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost, audit) = 1),
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + ins.paid, w.audit || ins.letters) = 1),
     c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
