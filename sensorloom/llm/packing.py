@@ -42,7 +42,7 @@ class Packer:
 
     def __init__(self, limits: Limits, first: int):
         self.lim, self.next_id, self.out, self.held = limits, first, [], 0
-        self.pool: list[tuple] = []  # (doc, ids, start, end, loss_from)
+        self.pool: dict[tuple[int, int], list[tuple]] = {}  # by (tokens, loss): (doc, ids, start, end, loss_from)
 
     def add(self, doc, ids: np.ndarray, loss_from: int) -> None:
         start, n, lim = 0, len(ids), self.lim
@@ -51,8 +51,7 @@ class Packer:
             start += lim.tokens
         while start < n:  # shorter, or with more loss-bearing tokens than one sequence may hold
             end = min(n, start + lim.tokens, max(start, loss_from) + lim.loss)
-            self.pool.append((doc, ids, start, end, loss_from))
-            self.held += end - start
+            self._wait((doc, ids, start, end, loss_from))
             start = end
         if self.held >= self.WAITING * lim.tokens:
             self.pack(lim.tokens * self.WAITING // 4)
@@ -61,6 +60,12 @@ class Packer:
     def _loss(start: int, end: int, loss_from: int) -> int:
         return max(0, end - max(start, loss_from))
 
+    def _wait(self, piece: tuple) -> tuple[int, int]:
+        need = piece[3] - piece[2], self._loss(*piece[2:])
+        self.pool.setdefault(need, []).append(piece)
+        self.held += need[0]
+        return need
+
     def _emit(self, pieces: list[tuple]) -> None:
         at = 0
         for doc, ids, start, end, loss_from in pieces:
@@ -70,32 +75,39 @@ class Packer:
         self.next_id += 1
 
     def pack(self, keep: int = 0) -> None:
-        """Close sequences until at most ``keep`` tokens wait."""
-        lim, pool = self.lim, self.pool
-        size = np.array([p[3] - p[2] for p in pool], dtype=np.float64)
-        loss = np.array([self._loss(*p[2:]) for p in pool], dtype=np.float64)
+        """Close sequences until at most ``keep`` tokens wait.
+
+        Pieces with one demand are alike, so a pick looks at the demands that wait, not at the pieces: there are at most as
+        many as fit into the waiting tokens, however short the documents.
+        """
+        lim, needs = self.lim, list(self.pool)
+        size = np.array([n[0] for n in needs], dtype=np.float64)
+        loss = np.array([n[1] for n in needs], dtype=np.float64)
+        left = np.array([len(self.pool[n]) for n in needs])
         while self.held > keep:
             room, seg, room_loss, chosen = lim.tokens, lim.segments, lim.loss, []
             while room > 0 and seg > 0:
                 worth = size * (room / lim.tokens**2) + loss * (room_loss / max(lim.loss, 1) ** 2) + seg / lim.segments**2
-                worth[size == 0] = -1
+                worth[left == 0] = -1
                 fits = np.where((size <= room) & (loss <= room_loss), worth, -1)
-                k = int(fits.argmax()) if len(fits) else 0
-                if not len(fits) or fits[k] < 0:
-                    k = int(worth.argmax()) if len(worth) else 0
-                    if not len(worth) or worth[k] < 0:
-                        break
-                    doc, ids, start, end, loss_from = pool[k]
-                    mid = min(start + room, max(start, loss_from) + room_loss)
-                    if mid <= start:
+                k = int(fits.argmax()) if len(fits) else -1
+                whole = k >= 0 and fits[k] >= 0
+                if not whole:
+                    k = int(worth.argmax()) if len(worth) else -1
+                    if k < 0 or worth[k] < 0:
                         break
-                    mid = min(mid, end)
-                    pool[k] = (doc, ids, mid, end, loss_from)
+                piece = self.pool[needs[k]][-1]
+                doc, ids, start, end, loss_from = piece
+                mid = end if whole else min(end, start + room, max(start, loss_from) + room_loss)
+                if mid <= start:
+                    break
+                self.pool[needs[k]].pop()
+                left[k] -= 1
+                self.held -= end - start
+                if mid < end:
+                    needs, size, loss, left = self._again((doc, ids, mid, end, loss_from), needs, size, loss, left)
                     piece = (doc, ids, start, mid, loss_from)
-                else:
-                    piece, pool[k] = pool[k], (*pool[k][:2], 0, 0, 0)
-                size[k], loss[k] = pool[k][3] - pool[k][2], self._loss(*pool[k][2:])
-                room -= piece[3] - piece[2]
+                room -= mid - start
                 seg -= 1
                 room_loss -= self._loss(*piece[2:])
                 chosen.append(piece)
@@ -105,14 +117,18 @@ class Packer:
                 doc, ids, start, end, loss_from = chosen.pop()
                 cut = max(start, end - spare)
                 spare -= end - cut
-                used -= end - cut
                 if cut > start:
                     chosen.append((doc, ids, start, cut, loss_from))
-                pool.append((doc, ids, cut, end, loss_from))
-                size, loss = np.append(size, end - cut), np.append(loss, self._loss(cut, end, loss_from))
+                needs, size, loss, left = self._again((doc, ids, cut, end, loss_from), needs, size, loss, left)
             self._emit(chosen)
-            self.held -= used
-        self.pool = [p for p in pool if p[3] > p[2]]
+        self.pool = {n: p for n, p in self.pool.items() if p}
+
+    def _again(self, piece: tuple, needs: list, size: np.ndarray, loss: np.ndarray, left: np.ndarray) -> tuple:
+        need = self._wait(piece)
+        if need in needs:
+            left[needs.index(need)] += 1
+            return needs, size, loss, left
+        return [*needs, need], np.append(size, need[0]), np.append(loss, need[1]), np.append(left, 1)
 
     def rows(self) -> list[tuple]:
         done, self.out = self.out, []
@@ -137,7 +153,8 @@ def pack(
     ids, or, at the segment limit and at the end of a partition, a power of two, so that none needs padding.
 
     A null text is an empty one and gives one piece with the end id; a null id stays null; equal rows are packed once
-    each; no row gives no row. Other columns are ignored.
+    each; no row gives no row. A very long text is encoded whole and cut into full sequences; ties between demands go to the
+    one that has waited longest, within a demand to the latest piece. Other columns, whatever their names, are ignored.
     """
     lim = limits or Limits()
     if lim.tokens & (lim.tokens - 1) or min(lim.tokens, lim.segments, lim.loss) < 1:
@@ -156,17 +173,13 @@ def pack(
             arrays = [pa.array(cols[0], type=id_type), *[pa.array(c, type=pa.int64()) for c in cols[1:]]]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        try:
-            for part in slices(batches):
-                id_type = part.column("doc_id").type
-                rows = zip(part.column("doc_id").to_pylist(), encoder.encode(texts(part)), part.column("lead").to_pylist())
-                for key, ids, lead_ids in rows:
-                    own = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    packer.add(key, own, min(max(lead_ids or 0, 0), len(own)))
-                if packer.out:
-                    yield batch()
-        finally:  # a worker outlives its task and then serves other stages
-            encoder.known = {}
+        for part in slices(batches):
+            id_type = part.column("doc_id").type
+            for key, t, lead_ids in zip(part.column("doc_id").to_pylist(), texts(part), part.column("lead").to_pylist()):
+                own = np.append(encoder.one(t), np.uint32(end_id)).astype("<u4", copy=False)
+                packer.add(key, own, min(max(lead_ids or 0, 0), len(own)))
+            if packer.out:
+                yield batch()
         packer.pack()
         if packer.out:
             yield batch()

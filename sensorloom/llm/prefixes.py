@@ -15,10 +15,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from sensorloom.functions.names import col
 from sensorloom.llm.common import fresh, slices, texts, with_columns
-from sensorloom.llm.tokens import LONG_UNIT, library
+from sensorloom.llm.tokens import library
 
 #: Distinct units, and words, whose counts a Python worker remembers, and token pairs whose fit it remembers.
 REMEMBERED, PAIRS = 600_000, 400_000
+#: A longer unit or word is counted but not remembered.
+LONG_UNIT = 64
+#: Code points behind a cut in which a longer beginning is looked for where the normal form has another length.
+LOOK_ON = 64
+_PIECE = regex.compile(r"[^\t\n\x0b\x0c\r]+")
 
 
 class PrefixCounts:
@@ -199,9 +204,9 @@ class PrefixCounts:
         return out
 
     def cut(self, text: str, counts: np.ndarray, limit: int) -> int:
-        """Code points of the longest run of whole units, and then of characters, from the start within ``limit`` tokens.
+        """Code points of the longest beginning within ``limit`` tokens.
 
-        Units before it are looked up; inside the unit that passes the limit its prefix table answers.
+        Units before it are looked up; inside the unit that passes the limit the prefix table of its piece answers.
         """
         upto = np.cumsum(counts)
         k = int(np.searchsorted(upto, limit, side="right"))
@@ -210,11 +215,50 @@ class PrefixCounts:
         units = text.split(" ")
         start = sum(map(len, units[:k])) + k
         room = limit - (int(upto[k - 1]) if k else 0)
-        unit = units[k]
-        if any(s in unit for s in self.special) or len(self.normal(unit)) != len(unit):
-            return max(start - 1, 0)
-        inside = [i for i, c in enumerate(self.unit(self.normal(unit))) if c <= room]
-        return start + inside[-1] if inside[-1] else max(start - 1, 0)
+        return start + self._cut_unit(units[k], room)
+
+    def _cut_unit(self, unit: str, room: int) -> int:
+        """Blanks other than the space part words too, so pieces between them count on their own."""
+        if any(_PIECE.fullmatch(s) is None for s in self.special):
+            return self._cut_plain(unit, room)
+        for m in _PIECE.finditer(unit):
+            n = self.total(m[0])
+            if n > room:
+                return m.start() + self._cut_piece(m[0], room)
+            room -= n
+        return len(unit)
+
+    def _cut_piece(self, piece: str, room: int) -> int:
+        """Special strings stand between parts that count on their own."""
+        at = 0
+        named = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        parts = named.splititer(piece) if named else [piece]
+        for part in parts:
+            n = self.total(part)
+            if n > room:
+                return at + self._cut_plain(part, room)
+            room, at = room - n, at + len(part)
+            found = named.match(piece, at) if named else None
+            if found:
+                n = self.total(found[0])
+                if n > room:
+                    return at
+                room, at = room - n, found.end()
+        return at
+
+    def _cut_plain(self, part: str, room: int) -> int:
+        """From the prefix table; where normalising moves places, by halving with whole counts and a look onwards."""
+        normal = self.normal(part)
+        if len(normal) == len(part):
+            k = max(i for i, c in enumerate(self.unit(normal)) if c <= room)
+            if part.isascii() or self.total(part[:k]) <= room:
+                return k
+        low, high = 0, len(part)
+        while high - low > 1:
+            k = (low + high) // 2
+            low, high = (k, high) if self.total(part[:k]) <= room else (low, k)
+        on = range(low, min(len(part), low + LOOK_ON) + 1)
+        return max((k for k in on if self.total(part[:k]) <= room), default=low)
 
 
 @lru_cache(maxsize=2)
@@ -238,8 +282,8 @@ def token_counts(
     hold, in code points. ``prefix_tokens`` has the count of every prefix of the normalised text (the form that the
     tokenizer sees, without special strings), from the empty one on.
 
-    A null text is empty: 0 bytes, 0 tokens. Equal rows each give a row; an empty table gives none; other columns pass
-    through and may have any name but those of the result.
+    A null text is empty: 0 bytes, 0 tokens. A very long text is counted whole, unit by unit. Equal rows each give a row;
+    an empty table gives none; other columns pass through and may have any name but those of the result.
     """
     carried = fresh(docs, "count_text")
     kept = [col(c) for c in (docs.columns if keep is None else keep)]

@@ -1,30 +1,19 @@
-"""Exact ids of public tokenizers, one lookup per space-separated unit.
+"""Exact ids of public tokenizers.
 
-Both tokenizers used here cut a text at every single space between two other characters before they look for merges,
-so the ids of a text are the ids of its units one after the other. Units repeat a lot; each distinct one is encoded once
-by the ``tokenizers`` library and then looked up. Texts with other runs of blanks are cut only where this is exact.
+Whole texts go through an encoder with the library tokenizer's own ranks where that is the same thing; nothing is kept
+between texts, so a worker holds one text's ids at a time. Texts that hold a special string go to the library itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: A unit longer than this is encoded but not remembered.
-LONG_UNIT = 64
-#: Distinct units remembered per Python worker, about 130 MB.
-REMEMBERED = 600_000
 #: Fixed value: how the library's byte-level step cuts a text into pieces.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_BESIDE = [p for c in map(chr, range(0x3001)) if c.isspace() for p in (" " + c, c + " ")]
 
 
 @lru_cache(maxsize=4)
@@ -66,37 +55,18 @@ class ByteLevelIds:
     """Ids of texts by a byte-level tokenizer whose pieces take the one space in front of them."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = library(path), {}
+        self.tokenizer = library(path)
         self.ranked = _ranked(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def units(self, text: str) -> list[str]:
-        """The text cut at single spaces. A space beside other blanks, or first or last, makes the careful cut needed."""
-        odd = text[:1] == " " or text[-1:] == " " or any(p in text for p in _BESIDE)
-        parts = _CUT.split(text) if odd else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def _new(self, units: list[str]) -> Iterator[bytes]:
-        for unit in units:
-            if self.ranked is None or any(s in unit for s in self.special):
-                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-            else:
-                ids = self.ranked.encode_ordinary(unit)
-            yield array("I", ids).tobytes()
+    def one(self, text: str) -> np.ndarray:
+        if self.ranked is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut = [self.units(t) for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        self.known.update(zip(new, self._new(new)))
-        look = self.known.__getitem__
-        ids = [np.frombuffer(b"".join(map(look, units)), dtype="<u4") for units in cut]
-        for unit in new:
-            if len(unit) > LONG_UNIT:
-                del self.known[unit]
-        return ids
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -12,6 +12,7 @@ from sensorloom.llm.tokens import ByteLevelIds
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a", "a  b", "a \n b", "a  b", " lead", "trail ", "x<|endoftext|>y <|endoftext|> z", "\U0001f600 é", "don't  we'll\n\n\nso", "a" * 500]
+ODD += ["line\r\nnext\r\n\r\n  end", "\t\ttab\t x", " " * 3000 + "x", "\n" * 500, "漢字かな交じり文 " * 40, "é́ combining", "x" * 1_000_000, "a1b22c333 " * 50_000, "I'LL 'S ''t"]
 
 
 def test_ids_are_the_librarys():
@@ -37,7 +38,7 @@ def check(rows, lim):
 
 @pytest.mark.parametrize("lim", [Limits(), Limits(64, 3, 64), Limits(64, 8, 20), Limits(16, 1, 1)])
 def test_every_id_once_within_the_limits(odd, lim):
-    docs = odd.where("doc_id is not null and doc_id <> 8").dropDuplicates(["doc_id"])
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     library = Tokenizer.from_file(PATH)
     by_doc = check(pack(docs, PATH, limits=lim).collect(), lim)
@@ -65,3 +66,12 @@ def test_odd_rows(odd, none):
     got = {r.doc_id: (r.n, r.d) for r in rows}
     assert got[5] == got[6] == (1, 1) and got[9][0] == 2 * got[9][1] and None in got
     assert pack(none, PATH).count() == 0
+
+
+def test_many_short_documents_take_linear_time(given):
+    import time
+
+    docs = given([(0, "")]).sparkSession.range(0, 500_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    began = time.time()
+    rows = pack(docs, PATH).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s"), F.max("offset").alias("o")).first()
+    assert time.time() - began < 60 and rows.n == 500_000 and rows.o == 127 and rows.s < 500_000 / 128 + 8

@@ -40,6 +40,22 @@ def test_cut_holds_the_limit(both):
         assert limit < counts.sum() or k == len(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "word\r\n" * 12, "one\t\ttwo three\t\t" * 5, "漢字\n\n" * 8, "漢字 かな\n\n" * 5, "cafe\u0301 re\u0301sume\u0301\n" * 4, "cafe\u0301re\u0301sume\u0301" * 3,
+        "a<|endoftext|>b unbelievable<|endoftext|>\nextraordinarily" * 3, "<|endoftext|>" * 4, "İstanbulİİ don't we'll" * 3, "\n\n\n", "  x  \n y",
+    ],
+)
+def test_cut_is_the_longest_within_the_limit(both, text):
+    counter, library = both
+    counts = counter.totals([text])[0]
+    tokens = [count(library, text[:k]) for k in range(len(text) + 1)]
+    for limit in range(0, int(counts.sum()) + 1):
+        k = counter.cut(text, counts, limit)
+        assert k == max(i for i, n in enumerate(tokens) if n <= limit), (limit, k)
+
+
 def test_odd_rows(odd, none, both):
     out = token_counts(odd, PATH, limit=40, keep=["doc_id"], table=True).collect()
     text = {r.doc_id: r.text or "" for r in odd.collect()}
