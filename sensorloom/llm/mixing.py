@@ -167,6 +167,8 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Rows of a list of repeated rows that are sent to every task.
+SENT = 500_000
 SLOTS = "source_no int, block_no long, round int, take long, shard long, slot long"
 
 
@@ -201,20 +203,22 @@ def slots(spark, plan: Plan, mix: Mix) -> DataFrame:
 
 
 # ---------------------------------------------------------------- the mixture
-def mixture(docs: DataFrame, mix: Mix, *, doc_id: str, source: str, text: str, keep: list[str] | None = None):
+def mixture(docs: DataFrame, mix: Mix, *, doc_id: str, source: str, text: str, row: Column | None = None):
     """``(rows, taken)``: rows with their place in the streams and their source's target, and what the mix takes.
 
-    ``rows`` has the columns of ``keep`` (none) and ``m_id, m_source, size, m_no, stream_at, source_size, target``; ``taken``
-    has ``t_no, t_at, round, first, words, shard, slot``: words ``first`` on of the row at ``(t_no, t_at)``.
+    ``rows`` has ``m_id, m_source, size, m_no, stream_at, source_size, target`` and, if ``row`` is given, its value as
+    ``m_row``; ``taken`` has ``t_no, t_at, round, first, words, shard, slot``: words ``first`` on of the row at ``(t_no, t_at)``.
+    Texts are read once, for their numbers of words.
     """
+    named = [] if row is None else ["m_row"]
     base = docs.select(
-        *[col(c).alias(f"k_{c}") for c in keep or []],
+        *([] if row is None else [row.alias("m_row")]),
         col(doc_id).alias("m_id"),
         col(source).alias("m_source"),
         col(text).cast("string").alias("m_text"),
         F.xxhash64(col(text).cast("string")).alias("m_hash"),
     )
-    narrow = durable(sized(base, "size", text="m_text", keep=["m_id", "m_source", "m_hash"]))
+    narrow = durable(sized(base, "size", text="m_text", keep=[*named, "m_id", "m_source", "m_hash"]))
     table = targets(narrow.withColumnRenamed("m_source", "source"), mix).collect()  # a row per source to be weighed
     plan = Plan(
         tuple(r.source_no for r in table),
@@ -243,9 +247,9 @@ def mixture(docs: DataFrame, mix: Mix, *, doc_id: str, source: str, text: str, k
         at = in_streams(rows, "m_source", "size", order, spread)
         return at.join(known, at.m_source.eqNullSafe(known.s_source)).drop("s_source")
 
-    # equal rows may change places between the two, which changes nothing: the places are the same
-    rows = placed(sized(base, "size", text="m_text", keep=[c for c in base.columns if c != "m_text"]) if keep else narrow)
-    streams = placed(narrow).where("size > 0")
+    # equal rows may change places between evaluations, which changes nothing: the places are the same
+    rows = placed(narrow)
+    streams = rows.where("size > 0")
     touched = streams.select(
         "m_no",
         "stream_at",
@@ -301,14 +305,23 @@ def mixed(
     between them, runs parted by a line feed. A document taken twice gives two rows; one not taken gives none. ``size``
     may name a column for the length of the text.
     """
-    rows, taken = mixture(docs, mix or Mix(), doc_id=doc_id, source=source, text=text, keep=docs.columns)
+    whole = F.xxhash64(*[col(c) for c in docs.columns], F.lit(mix.seed if mix else 0))
+    rows, taken = mixture(docs, mix or Mix(), doc_id=doc_id, source=source, text=text, row=whole)
     runs = taken.groupBy("t_no", "t_at", "round").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs")
     )
     worded = rows.where("size > 0")  # a row without words begins where the next one does
-    met = worded.join(runs, (worded.m_no == runs.t_no) & (worded.stream_at == runs.t_at))
+    met = worded.join(runs, (worded.m_no == runs.t_no) & (worded.stream_at == runs.t_at)).select("m_id", "m_row", "size", "runs")
+    # texts are shuffled once, to what is taken of them; equal rows stand for each other, so one of them meets all
+    given = docs.select(*[col(c).alias(f"k_{c}") for c in docs.columns], col(doc_id).alias("g_id"), whole.alias("g_row"))
+    again = durable(worded.groupBy("m_id", "m_row").count().where("count > 1").select(F.col("m_id").alias("a_id"), F.col("m_row").alias("a_row")))
+    if not again.isEmpty():
+        sent = F.broadcast(again) if again.count() <= SENT else again
+        same = given.g_id.eqNullSafe(again.a_id) & (given.g_row == again.a_row)
+        twice = given.join(sent, same, "left_semi").dropDuplicates(["g_id", "g_row"])
+        given = given.join(sent, same, "left_anti").unionByName(twice)
     body = f"k_{text}"
-    given = met.select(
+    given = given.join(met, given.g_id.eqNullSafe(met.m_id) & (given.g_row == met.m_row)).select(
         *[F.col(f"k_{c}") for c in docs.columns],
         F.transform("runs", lambda r: r["first"]).alias("r_first"),
         F.transform("runs", lambda r: r["words"]).alias("r_words"),

@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.functions.names import col
+from sensorloom.llm.common import durable
 
 # Base patterns. Each finds the same spans as the plain form beside it, without going over a run of
 # characters once for each of its starts: a span may begin only where a run begins or the last span ended.
@@ -33,7 +35,7 @@ BASE = {
 EXTRA = {
     "credential": r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?[^\s\"']{6,}+[\"']?",
     "key": r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9]|AKIA)[A-Z]{2,6}[A-Z0-9]{14,}+(?![A-Za-z0-9])",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\.|[\[(]dot[\])])[\x20]?[A-Za-z0-9-]{2,63}){1,4}",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?[\[(](?i:at)[\])][\x20]?[A-Za-z0-9-]++(?:(?:\.|[\x20]?[\[(](?i:dot)[\])][\x20]?)[A-Za-z0-9-]{2,}+)++",
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9.])[0-9]{1,6}(?:\.[0-9]{1,4})?\.?(?![0-9.-])",
@@ -213,18 +215,43 @@ def labelers() -> dict[str, Column]:
     }
 
 
+#: Classes of each feature that the span classifier has beside the votes.
+LENGTHS, DIGITS, WORDS = 5, 4, 16
+
+
+def own_features() -> dict[str, Column]:
+    """What the labelers don't see: how long a span is, its share of digits, and hashes of the words beside it."""
+    n, hit = F.length("hit"), F.col("hit")
+    digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+    word = lambda text, pattern: F.lower(F.regexp_extract(text, pattern, 1))
+    before, after = word(F.col("before"), r"([\p{L}]+)[^\p{L}]*$"), word(F.col("after"), r"^[^\p{L}]*([\p{L}]+)")
+    return {
+        "f_length": F.when(n < 8, 0).when(n < 12, 1).when(n < 16, 2).when(n < 32, 3).otherwise(LENGTHS - 1),
+        "f_digits": F.least(F.floor(DIGITS * digits / n), F.lit(DIGITS - 1)).cast("int"),
+        "f_before": F.when(before == "", -1).otherwise(F.pmod(F.xxhash64(before), F.lit(WORDS)).cast("int")),
+        "f_after": F.when(after == "", -1).otherwise(F.pmod(F.xxhash64(after), F.lit(WORDS)).cast("int")),
+    }
+
+
 def _features(votes: list[str]) -> list[str]:
-    return [*[f"kind:{k}" for k in KINDS], *[f"{v}:{s}" for v in votes for s in ("yes", "no")]]
+    sizes = {"f_length": range(LENGTHS), "f_digits": range(DIGITS), "f_before": range(-1, WORDS), "f_after": range(-1, WORDS)}
+    own = [f"{f}:{x}" for f, xs in sizes.items() for x in xs]
+    return [*[f"kind:{k}" for k in KINDS], *[f"{v}:{s}" for v in votes for s in ("yes", "no")], *own]
 
 
 def fit(voted: DataFrame, *, rounds: int = 50) -> SpanModel:
-    """Expectation-maximisation and the span classifier, from the counts of (kind, votes).
+    """Expectation-maximisation over the votes, then the span classifier on its soft labels.
 
-    What comes to the driver is one row per pattern of votes: at most ``3 ** labelers`` times the number of kinds.
+    What comes to the driver is one row per kind, pattern of votes and classes of own features: their number is bounded by
+    the labelers and the classes, whatever the number of spans.
     """
-    names = list(labelers())
-    rows = voted.where("kind is not null").groupBy("kind", *names).agg(F.count("*").alias("n")).collect()
-    data = sorted(((r["kind"], tuple(r[v] for v in names)), r["n"]) for r in rows)
+    names, own = list(labelers()), list(own_features())
+    rows = voted.where("kind is not null").groupBy("kind", *names, *own).agg(F.count("*").alias("n")).collect()
+    cells = sorted(((r["kind"], tuple(r[v] for v in names), tuple(r[f] for f in own)), r["n"]) for r in rows)
+    counts: dict = {}
+    for (kind, votes, _), n in cells:
+        counts[kind, votes] = counts.get((kind, votes), 0) + n
+    data = sorted(counts.items())
     total = sum(n for _, n in data)
     prior, right = 0.5, {v: (0.8, 0.8) for v in names}
     soft: dict = {}
@@ -244,17 +271,19 @@ def fit(voted: DataFrame, *, rounds: int = 50) -> SpanModel:
             b = (8 + sum((1 - p) * n for p, x, n in said if x < 0)) / (10 + sum((1 - p) * n for p, _, n in said))
             right[v] = (min(a, 0.99), min(b, 0.99))
         prior = min(0.95, max(0.05, sum(soft[k] * n for k, n in data) / total))
-    weights = dict.fromkeys(["bias", *_features(names)], 0.0)
-    hit = {k: ["bias", f"kind:{k[0]}", *[f"{v}:{'yes' if x > 0 else 'no'}" for v, x in zip(names, k[1]) if x]] for k, _ in data}
-    for _ in range(400 if total else 0):  # gradient steps on the weighted patterns, with a small ridge
-        slope = {f: 1e-3 * w for f, w in weights.items()}
-        for k, n in data:
-            z = sum(weights[f] for f in hit[k])
-            p = 1 / (1 + math.exp(max(-700.0, min(700.0, -z))))
-            for f in hit[k]:
-                slope[f] += (p - soft[k]) * n / total
-        weights = {f: w - 2.0 * slope[f] for f, w in weights.items()}
-    return SpanModel(prior, right, weights)
+    features = ["bias", *_features(names)]
+    place = {f: i for i, f in enumerate(features)}
+    hits = np.zeros((len(cells), len(features)))
+    for i, ((kind, votes, mine), _) in enumerate(cells):
+        on = ["bias", f"kind:{kind}", *[f"{v}:{'yes' if x > 0 else 'no'}" for v, x in zip(names, votes) if x]]
+        hits[i, [place[f] for f in [*on, *[f"{f}:{x}" for f, x in zip(own, mine)]]]] = 1
+    weight = np.zeros(len(features))
+    share = np.array([n for _, n in cells]) / max(total, 1)
+    goal = np.array([soft[kind, votes] for (kind, votes, _), _ in cells])
+    for _ in range(400 if total else 0):  # gradient steps on the weighted cells, with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(hits @ weight, -700, 700)))
+        weight -= 2.0 * (1e-3 * weight + ((p - goal) * share) @ hits)
+    return SpanModel(prior, right, dict(zip(features, weight.tolist())))
 
 
 def _probability(model: SpanModel) -> Column:
@@ -264,6 +293,9 @@ def _probability(model: SpanModel) -> Column:
     for v in labelers():
         yes, no = model.weights[f"{v}:yes"], model.weights[f"{v}:no"]
         z = z + F.when(F.col(v) == 1, yes).when(F.col(v) == -1, no).otherwise(0.0)
+    for f in own_features():
+        known = {int(k.split(":")[1]): w for k, w in model.weights.items() if k.startswith(f"{f}:")}
+        z = z + F.element_at(F.array(*[F.lit(known[x]) for x in sorted(known)]), F.col(f) - min(known) + 1)
     return 1 / (1 + F.exp(-z))
 
 
@@ -279,7 +311,9 @@ def find_spans(docs: DataFrame, *, keys: list[str], text: str = "text", least: f
     Keys may have any names except those of the working columns, so callers pass renamed ones.
     """
     spans = candidates(docs, keys, text).withColumn("valid", F.coalesce(passes(F.col("kind"), F.col("hit")), F.lit(False)))
-    voted = spans.select("*", *[c.alias(v) for v, c in labelers().items()])
+    voted = spans.select("*", *[c.alias(v) for v, c in labelers().items()], *[c.alias(f) for f, c in own_features().items()])
+    # small rows without texts, read by the model and by the result: the patterns go over each text once
+    voted = durable(voted.select(*[col(k) for k in keys], "row", "kind", "start", "end", "valid", *labelers(), *own_features()))
     model = fit(voted)
     number = F.lit(None).cast("int")
     for i, k in enumerate(KINDS):

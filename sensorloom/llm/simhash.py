@@ -20,6 +20,8 @@ SEED = 42
 SEGMENT = 2
 _LOW = np.uint64(0x5555555555555555)
 _HALF = np.uint64(0xFFFFFFFF)
+#: Rows of a list of ids that are sent to every task; longer lists are joined by a shuffle.
+SENT = 500_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -123,9 +125,10 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3, also: str | None = None
 ) -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id, root)`` for each row: its fingerprint and its near-duplicate component.
+    ``also`` may name one more column to carry.
 
     Rows with one fingerprint are one node of the link graph, however many there are; links join distinct
     fingerprints. ``component_id`` is the smallest id in the component, ``root`` its smallest fingerprint.
@@ -133,8 +136,9 @@ def near_duplicates(
     A null or blank text has fingerprint zero and is linked like any other. A null id never is a component's id
     unless all its ids are null. Equal rows each give a row. An empty table gives none. Other columns are ignored.
     """
-    narrow = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    marked = durable(with_fingerprint(narrow, "fp", shingle=shingle, keep=["doc_id"]))
+    more = [also] if also else []
+    narrow = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), *[col(c) for c in more])
+    marked = durable(with_fingerprint(narrow, "fp", shingle=shingle, keep=["doc_id", *more]))
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes.select("fp"), max_bits))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
@@ -143,21 +147,37 @@ def near_duplicates(
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.join(ids, "root").select("fp", "root", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(classes, "fp").select("doc_id", "fp", hexed, "component_id", "root")
+    return marked.join(classes, "fp").select("doc_id", "fp", hexed, "component_id", "root", *[col(c) for c in more])
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of each near-duplicate component, all columns: the one with the smallest id.
 
-    Ties of an id go to the smaller fingerprint, equal rows to one of them. Rows without an id stay only where their
-    component has no id. The texts are shuffled once, by (fingerprint, id), so that many copies are no hot key.
+    Ties of an id go to the smaller fingerprint, then to the smaller hash of the text; of rows with one id and one text one
+    stays. Rows without an id stay only where their component has no id. Texts are read twice, for the fingerprints and for
+    the result: what goes is known by id and hash, so that texts are shuffled only where that list is too long to be sent.
     """
-    fp = fresh(docs, "kept_fp")
-    found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, max_bits=max_bits)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"))
-    best = found.groupBy("root").agg(F.min(order).alias("w")).select(
-        F.col("w.doc_id").alias("keeper_id"), F.col("w.fp").alias("keeper_fp")
-    )
-    marked = with_fingerprint(docs, fp, text=text, shingle=shingle)
-    is_keeper = marked[f"`{doc_id}`"].eqNullSafe(best.keeper_id) & (marked[fp] == best.keeper_fp)
-    return marked.join(best, is_keeper, "left_semi").dropDuplicates([fp, doc_id]).select(*[col(c) for c in docs.columns])
+    mark = fresh(docs, "kept_hash")
+    body = col(text).cast("string")
+    marked = docs.withColumn(mark, F.xxhash64(body, F.length(body)))
+    found = near_duplicates(marked, doc_id=doc_id, text=text, shingle=shingle, max_bits=max_bits, also=mark)
+    found = durable(found.select("doc_id", "fp", "root", col(mark).alias("mark")))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("mark"))
+    best = found.groupBy("root").agg(F.min(order).alias("w")).select("root", F.col("w.doc_id").alias("best_id"), F.col("w.mark").alias("best_mark"))
+    judged = found.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark")))
+    go = durable(judged.where("not stays").select("doc_id", "mark").distinct())
+    again = durable(judged.where("stays").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"))
+    kept = marked.join(_sent(go), _same(marked, go, doc_id, mark), "left_anti")
+    if not again.isEmpty():
+        twice = kept.join(_sent(again), _same(kept, again, doc_id, mark), "left_semi").dropDuplicates([doc_id, mark])
+        kept = kept.join(_sent(again), _same(kept, again, doc_id, mark), "left_anti").unionByName(twice)
+    return kept.select(*[col(c) for c in docs.columns])
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Sent to every task where its counted rows allow it."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def _same(rows: DataFrame, named: DataFrame, doc_id: str, mark: str):
+    return rows[f"`{doc_id}`"].eqNullSafe(named.doc_id) & (rows[f"`{mark}`"] == named.mark)

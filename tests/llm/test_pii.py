@@ -91,6 +91,14 @@ def test_long_secrets_vanish_whole(given):
     assert len(got[4]) == 400_005
 
 
+def test_masked_addresses_vanish_whole(given):
+    long = "a" * 70
+    docs = given([(1, "write jo [at] a.bb.cc.dd.ee.ff.gg now"), (2, f"mail {long}(AT)site[dot]org today"), (3, "contact jo [AT] " + ".".join(["part"] * 40) + ".de"), (4, "x [at] " * 50_000)])
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got[1] == "write [MASKED_EMAIL] now" and got[2] == "mail [MASKED_EMAIL] today" and got[3] == "contact [MASKED_EMAIL]"
+    assert got[4] == "x [at] " * 50_000
+
+
 def test_query_on_a_table(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
