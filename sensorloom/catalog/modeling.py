@@ -8,6 +8,7 @@ from sensorloom import plant
 from sensorloom.catalog.base import Catalog, filled_grid, site_minutes, sql, table
 from sensorloom.functions.numeric import limit_metrics
 from sensorloom.operators import features, model
+from sensorloom.operators.grid import fill_gaps
 from sensorloom.plans.build import modeling_table
 from sensorloom.sources.sinks import settle
 
@@ -94,17 +95,63 @@ def limit_metrics_on_labels(spark, d):
     return table(spark, d, "labels").agg(*[c.alias(n) for n, c in parts.items()])
 
 
+_FILLED_SITE = """nb AS (SELECT ts, sensor_valid, x, h, {marks} FROM (
+    SELECT ts, sensor_valid, nh3_roll_mean_15min AS x, h2s_roll_max_15min AS h FROM site)
+  WINDOW up AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         down AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+gas AS (SELECT ts, sensor_valid, {cells} FROM nb),
+led AS (SELECT *, lead(x, 60) OVER (ORDER BY ts) AS y, lead(h, 60) OVER (ORDER BY ts) AS yh FROM gas),
+rows_ AS (SELECT ts, x, y, CASE WHEN p < CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'
+    WHEN p < CAST(floor(n * 0.85::DOUBLE) AS BIGINT) THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS p, count(*) OVER () AS n FROM led
+    WHERE y IS NOT NULL AND yh IS NOT NULL AND sensor_valid = 1))""".format(
+    marks=", ".join(
+        f"last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER up AS {c}_pt, last_value({c} IGNORE NULLS) OVER up AS {c}_pv, "
+        f"first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER down AS {c}_nt, first_value({c} IGNORE NULLS) OVER down AS {c}_nv"
+        for c in "xh"
+    ),
+    cells=", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN date_diff('minute', {c}_pt, ts) <= 10 THEN coalesce({c}_pv + ({c}_nv - {c}_pv) "
+        f"* date_diff('minute', {c}_pt, ts) / nullif(date_diff('minute', {c}_pt, {c}_nt), 0), {c}_pv) END AS {c}"
+        for c in "xh"
+    ),
+)
+
+
+def _site_rows(text: str) -> str:
+    head, body = text.split("\nSELECT", 1)
+    return f"{head},\n{_FILLED_SITE}\nSELECT{body}"
+
+
+def _site_table(spark, d):
+    """Modeling table of one site; short gaps of the gases are filled first, as in the minute build."""
+    gases = list(features.GASES.values())
+    return modeling_table(fill_gaps(site_minutes(spark, d), "ts", gases, limit=plant.GAP_LIMIT_MIN), "ts")
+
+
+_NH3 = {"target": f"{plant.NH3}_t_plus_60min", "current": plant.NH3, "valid": "model_row_valid_60min"}
+
+
+@add(
+    "forecast_rows",
+    _site_rows(
+        sql(
+            """SELECT ts AS timestamp, split, 'nh3_t_plus_60min' AS target_name, y AS y_true,
+                 coalesce(x, (SELECT median(y) FROM rows_ WHERE split = 'train')) AS y_pred_persistence FROM rows_""",
+            "site",
+            "y_true y_pred_persistence",
+        )
+    ),
+)
+def forecast_rows(spark, d):
+    """The prediction table without the model's column."""
+    rows = model.target_rows(_site_table(spark, d), "ts", **_NH3).withColumn("y_pred_model", F.lit(None).cast("double"))
+    return model.prediction_table(rows, "ts", _NH3["target"], "nh3_t_plus_60min").drop("y_pred_model")
+
+
 def _boosted(spark, d):
     """The forecast table of one site, at the default boosting settings on the rows that M2 calls valid."""
-    whole = modeling_table(site_minutes(spark, d), "ts")
-    return model.train_target(
-        whole,
-        "ts",
-        target=f"{plant.NH3}_t_plus_60min",
-        current=plant.NH3,
-        valid="model_row_valid_60min",
-        name="nh3_t_plus_60min",
-    )
+    return model.train_target(_site_table(spark, d), "ts", name="nh3_t_plus_60min", **_NH3)
 
 
 @add("boosted_forecast")
@@ -114,4 +161,4 @@ def boosted_forecast(spark, d):
 
 @add("boosted_forecast_metrics")
 def boosted_forecast_metrics(spark, d):
-    return model.evaluate(_boosted(spark, d)[1], limit=plant.LIMITS["nh3"])
+    return model.evaluate(settle(_boosted(spark, d)[1]), limit=plant.LIMITS["nh3"])

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom import plant
 from sensorloom.functions.names import col, numeric_names
 from sensorloom.functions.numeric import error_metrics, limit_metrics
+from sensorloom.operators.boosting import Boosted, Settings, fit, predict
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.windows import chronological_split
 from sensorloom.sources.sinks import settle
 
-SENTINEL = -9999.0
-
-
 def feature_columns(
     df: DataFrame, *, patterns: Sequence[str] = tuple(plant.LEAK_PATTERNS), exclude: Sequence[str] = tuple(plant.LEAK_NAMES)
 ) -> list[str]:
@@ -56,31 +51,17 @@ def with_persistence(
     )
 
 
-def _as_features(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Trees take no nulls: a sentinel value plus a missing mark per feature."""
-    cells, names = [], []
-    for i, f in enumerate(features):
-        v = F.nanvl(col(f).cast("double"), F.lit(None).cast("double"))
-        cells += [F.coalesce(v, F.lit(SENTINEL)).alias(f"__f{i}"), v.isNull().cast("double").alias(f"__m{i}")]
-        names += [f"__f{i}", f"__m{i}"]
-    return df.select("*", *cells), names
-
-
-def fit_boosted(train: DataFrame, target: str, features: Sequence[str], **params) -> PipelineModel:
-    """Fit on rows that are already settled; ``params`` override the default boosting settings."""
-    rows, names = _as_features(train.select(col(target).cast("double").alias("__y"), *[col(f) for f in features]), features)
-    stages = [
-        VectorAssembler(inputCols=names, outputCol="__features"),
-        GBTRegressor(
-            featuresCol="__features", labelCol="__y", predictionCol="y_pred_model", **{**plant.BOOSTING, **params}
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows)
-
+def target_rows(
+    df: DataFrame, ts: str, *, target: str, current: str, valid: str, features: Sequence[str] = (), keys: Sequence[str] = ()
+) -> DataFrame:
+    """The model rows of one target with their split and the persistence forecast.
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    rows, names = _as_features(df, features)
-    return model.transform(rows).drop(*names, "__features")
+    They are written once to the checkpoint folder: boosting reads them many times, and a lost executor then costs no
+    more than one re-read.
+    """
+    wanted = dict.fromkeys([*keys, ts, target, current, valid, *features])
+    rows = model_rows(df.select(*[col(c) for c in wanted]), ts, target, valid, keys=keys)
+    return with_persistence(settle(rows), target, current, stored=True)
 
 
 def train_target(
@@ -94,23 +75,18 @@ def train_target(
     features: Sequence[str] | None = None,
     keys: Sequence[str] = (),
     **params,
-) -> tuple[PipelineModel | None, DataFrame]:
-    """Fit one target and return the model with its prediction table.
+) -> tuple[Boosted | None, DataFrame]:
+    """Fit one target and return the model with its prediction table; ``params`` override the default boosting settings.
 
     Without a training row there is no model: it is None and its forecasts are NULL.
-
-    The model rows are written once to the checkpoint folder: boosting reads them
-    many times, and a lost executor then costs no more than one re-read.
     """
     features = list(features or feature_columns(df))
-    wanted = dict.fromkeys([*keys, ts, target, current, valid, *features])
-    rows = model_rows(df.select(*[col(c) for c in wanted]), ts, target, valid, keys=keys)
-    rows = with_persistence(settle(rows), target, current, stored=True)
+    rows = settle(target_rows(df, ts, target=target, current=current, valid=valid, features=features, keys=keys))
     train = rows.where(F.col("model_split") == "train")
     if train.isEmpty():
         return None, prediction_table(rows.withColumn("y_pred_model", F.lit(None).cast("double")), ts, target, name, keys=keys)
-    model = fit_boosted(train, target, features, **params)
-    return model, prediction_table(predict(model, rows, features), ts, target, name, keys=keys)
+    model = fit(train, target, features, Settings(**{**plant.BOOSTING, **params}))
+    return model, prediction_table(predict(model, rows), ts, target, name, keys=keys)
 
 
 def prediction_table(df: DataFrame, ts: str, target: str, name: str, *, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,10 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom import plant
 from sensorloom.operators import dosing, events, features, report, rollup
 from sensorloom.operators.clean import clip_time, window_bounds
-from sensorloom.operators.model import evaluate, feature_columns, train_target
 from sensorloom.sources.tables import FrameSet, load_frames
 
 SIDE_TABLES = {"Struvite Observations": "struvite", "Chemistry Lab Results": "labs"}
@@ -81,26 +79,3 @@ class Analysis:
         f = self.frames
         tables = {"minute": f.minute, "hourly": f.hourly, "daily": f.daily, "monthly": f.monthly, "weekday": f.weekday}
         return report.dataset_status(tables)
-
-
-TARGETS = {
-    f"{g}_t_plus_60min": {
-        "target": f"{c}_t_plus_60min",
-        "current": c,
-        "valid": "model_row_valid_60min",
-        "limit": plant.LIMITS[g],
-    }
-    for g, c in features.GASES.items()
-}
-
-
-def train_all(table: DataFrame, ts: str, *, targets: dict | None = None, **params) -> dict[str, tuple]:
-    """Fit every target; gives ``name -> (model, predictions, metrics)``."""
-    chosen = feature_columns(table)
-    out = {}
-    for name, cfg in (targets or TARGETS).items():
-        model, predictions = train_target(
-            table, ts, target=cfg["target"], current=cfg["current"], valid=cfg["valid"], name=name, features=chosen, **params
-        )
-        out[name] = (model, predictions, evaluate(predictions, limit=cfg.get("limit")))
-    return out

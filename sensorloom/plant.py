@@ -81,7 +81,7 @@ LIMITS = {"nh3": 5.0, "h2s": 1.0}
 TRAIN_SHARE, VALIDATION_SHARE = 0.70, 0.85
 LEAK_PATTERNS = ["_t_plus_", "_delta_", "_exceeds_", "target_ready_", "model_row_valid_"]
 LEAK_NAMES = ["split"]
-BOOSTING = {"stepSize": 0.05, "maxIter": 300, "maxDepth": 6, "minInstancesPerNode": 50, "seed": 42}
+BOOSTING = {"rate": 0.05, "rounds": 300, "depth": 6, "leaves": 31, "min_leaf": 50, "l2": 0.1, "bins": 255}
 
 LOW_FLOW_MGD = 0.05
 

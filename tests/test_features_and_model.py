@@ -114,7 +114,7 @@ def test_features_leak_nothing_and_training_runs(spark):
     assert not any("_t_plus_" in c or "_delta_" in c or "model_row_valid" in c for c in chosen)
     fitted, predictions = model.train_target(
         table, "ts", target=f"{plant.NH3}_t_plus_60min", current=plant.NH3, valid="model_row_valid_60min", name="nh3",
-        features=chosen, maxIter=3, maxDepth=3,
+        features=chosen, rounds=3, depth=3,
     )
     got = predictions.toPandas()
     assert set(got["split"]) == {"train", "validation", "test"} and got["y_pred_model"].notna().all()
@@ -132,10 +132,11 @@ def test_boosted_queries_use_the_defaults_and_valid_rows(monkeypatch):
     seen = {}
     monkeypatch.setattr(modeling, "site_minutes", lambda spark, d: None)
     monkeypatch.setattr(modeling, "modeling_table", lambda df, ts: None)
+    monkeypatch.setattr(modeling, "fill_gaps", lambda df, *given, **named: None)
     monkeypatch.setattr(modeling.model, "train_target", lambda df, ts, **given: seen.update(given))
     modeling._boosted(None, "")
     assert seen["valid"] == "model_row_valid_60min" and seen.keys().isdisjoint(plant.BOOSTING)
-    assert (plant.BOOSTING["maxIter"], plant.BOOSTING["maxDepth"]) == (300, 6)
+    assert (plant.BOOSTING["rounds"], plant.BOOSTING["depth"], plant.BOOSTING["l2"]) == (300, 6, 0.1)
 
 
 def test_metrics_by_hand(spark):
