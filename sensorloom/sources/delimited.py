@@ -4,14 +4,19 @@ Files are read as splittable text, so one large file is many tasks. Only the
 first lines of each file are looked at for the header (a per-file top-k). The
 header rows, one short row per file, meet the lines by a broadcast once they are
 counted, so the lines themselves aren't shuffled; what stands up to the header
-is skipped by its position. No data line reaches the driver.
+is skipped by its line number. A line's number is counted from the start of its
+block, and the first block starts with its file, so what one job finds holds in
+the next one, however that one splits the files. No data line reaches the driver.
 Fields are parsed once into the widest layout, then named per distinct header.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,28 +34,54 @@ TIME_SCAN_LINES = 64
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(file, block, seq, line)``; ``(block, seq)`` orders the lines of a file."""
+    """``(file, block, seq, line)``: the place of a block in its file, the number of a line in its block.
+
+    ``(block, seq)`` orders the lines of a file. ``seq`` is counted in the task that reads the block.
+    """
     text = spark.read.text(path if isinstance(path, str) else list(path))
-    return text.select(
+    lines = text.select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
-        F.monotonically_increasing_id().alias(ORDER),
         F.regexp_replace("value", "\r$|^﻿", "").alias(LINE),
     )
+    return lines.mapInArrow(_numbered, f"{FILE} string, {BLOCK} long, {ORDER} long, {LINE} string")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each block from 0; the lines of a block follow each other."""
+    last, count = None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = batch.column(0), batch.column(1)
+        new = np.ones(n, dtype=bool)
+        new[0] = (file[0].as_py(), block[0].as_py()) != last
+        if n > 1:
+            other = pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
+            new[1:] = other.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        seq = np.arange(n) - np.repeat(starts, np.diff([*starts, n])) if new[0] else None
+        if seq is None:  # goes on with the block of the batch before
+            edges = np.concatenate([[0], starts])
+            seq = np.arange(n) - np.repeat(edges, np.diff([*edges, n]))
+            seq[: starts[0] if len(starts) else n] += count
+        last, count = (file[n - 1].as_py(), block[n - 1].as_py()), int(seq[-1]) + 1
+        yield pa.RecordBatch.from_arrays([file, block, pa.array(seq), batch.column(2)], names=[FILE, BLOCK, ORDER, LINE])
 
 
 def file_heads(lines: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` lines of every file with their 0-based number.
+    """The first ``n`` lines of every file with their 0-based number, also as ``seq`` of block 0.
 
-    The rank limit is applied before the shuffle, so at most ``n`` lines per
-    file and task move.
+    No more than ``n`` lines per block are looked at, and the rank limit is applied before the shuffle.
     """
     order = Window.partitionBy(FILE).orderBy(BLOCK, ORDER)
+    number = F.col("line_no") - 1
     return (
-        lines.where(F.col(BLOCK) == 0)
+        lines.where(F.col(ORDER) < n)
         .withColumn("line_no", F.row_number().over(order))
         .where(F.col("line_no") <= n)
-        .select(FILE, (F.col("line_no") - 1).alias("line_no"), ORDER, LINE)
+        .select(FILE, number.alias("line_no"), F.lit(0).cast("long").alias(BLOCK), number.cast("long").alias(ORDER), LINE)
     )
 
 
@@ -65,17 +96,11 @@ def _cells_with(cells: Column, word: str) -> Column:
 
 
 def _top_of_file(heads: DataFrame, header_no: Column) -> DataFrame:
-    """``(file, header_no, header, header_seq)`` from head lines: the header's number, text and place."""
-    lines = F.sort_array(F.collect_list(F.struct("line_no", LINE, ORDER)))
+    """``(file, header_no, header)`` from head lines: the header's number and text."""
+    lines = F.sort_array(F.collect_list(F.struct("line_no", LINE)))
     chosen = heads.groupBy(FILE).agg(header_no.cast("int").alias("header_no"), lines.alias("__top"))
     row = F.element_at(F.filter("__top", lambda x: x["line_no"] == F.col("header_no")), 1)
-    found = F.col("header_no").isNotNull()
-    return chosen.select(
-        FILE,
-        "header_no",
-        F.when(found, row[LINE]).alias("header"),
-        F.when(found, row[ORDER]).alias("header_seq"),
-    )
+    return chosen.select(FILE, "header_no", F.when(F.col("header_no").isNotNull(), row[LINE]).alias("header"))
 
 
 def fixed_header(lines: DataFrame, skip: int = plant.PREAMBLE_LINES) -> DataFrame:
@@ -132,11 +157,12 @@ def parse_lines(
 
     Settle ``headers`` first when the files are large: it is one short row per file.
     The distinct header texts are read by the driver (metadata, one short line per layout).
-    Lines of the first block up to the header are skipped by position, whatever they hold.
+    Lines of the first block up to the header are skipped by number, whatever they hold; in a block too small for them the
+    rest of them goes for want of a valid time.
     With ``keep_bad`` rows without a valid time stay, for quality tables.
     """
     tops = headers.where("header_no IS NOT NULL").select(
-        FILE, F.col("header").alias("__header"), F.col("header_seq").alias("__seq")
+        FILE, F.col("header").alias("__header"), F.col("header_no").alias("__no")
     )
     per_layout = tops.groupBy("__header").count().collect()
     layouts = [r[0] for r in per_layout]
@@ -149,7 +175,7 @@ def parse_lines(
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = (
         lines.join(tops, FILE)
-        .where(((F.col(BLOCK) > 0) | (F.col(ORDER) > F.col("__seq"))) & (F.trim(LINE) != ""))
+        .where(((F.col(BLOCK) > 0) | (F.col(ORDER) > F.col("__no"))) & (F.trim(LINE) != ""))
         .withColumn("__c", F.from_csv(LINE, F.lit(schema), {"mode": "PERMISSIVE", "ignoreTrailingWhiteSpace": "true"}))
     )
     wanted: dict[str, None] = {}
@@ -234,7 +260,7 @@ def require_times(lines: DataFrame, headers: DataFrame, parsed: DataFrame, ts: s
     Looks at the first lines after each header; only files without a valid time there are read in full.
     """
     scan = plant.PREAMBLE_LINES + 1 + TIME_SCAN_LINES
-    tops = parse_lines(file_heads(lines, scan).withColumn(BLOCK, F.lit(0)), headers, time_label=time_label, ts=ts)
+    tops = parse_lines(file_heads(lines, scan), headers, time_label=time_label, ts=ts)
     early = tops.select(FILE).distinct()
     open_files = [r[0] for r in headers.select(FILE).join(early, FILE, "left_anti").limit(BROADCAST_FILES + 1).collect()]
     if open_files:

@@ -60,6 +60,66 @@ def test_data_lines_equal_to_lines_above_the_header_stay(spark, tmp_path):
     assert got.iloc[:, 1].tolist() == ["5", "6"]
 
 
+def split_anew(spark, monkeypatch, first, then):
+    """Files are split into about so many parts in the jobs up to the header, and in those after it."""
+    conf, held = spark.conf, dl.settle
+    conf.set("spark.sql.files.openCostInBytes", "1")
+    conf.set("spark.sql.files.minPartitionNum", str(first))
+
+    def settle(df):
+        out = held(df)
+        conf.set("spark.sql.files.minPartitionNum", str(then))
+        return out
+
+    monkeypatch.setattr(dl, "settle", settle)
+
+
+@pytest.mark.parametrize("first,then", [(6, 1), (1, 6), (300, 5)])
+def test_no_row_depends_on_how_files_are_split(spark, tmp_path, monkeypatch, first, then):
+    n, files = 240, 3
+    stamps = [pd.date_range("2025-09-12", periods=n, freq="1min") + pd.Timedelta(days=k) for k in range(files)]
+    names = plant.FLOW_EXPORT_COLUMNS
+    wide = ["Time", *[f"tag {i}" for i in range(1, len(names))]]
+    gas = lambda t: f'"{t.month}-{t.day}-{t.year}, {t.hour % 12 or 12}-{t.minute:02d}-{t.second:02d} {"AM" if t.hour < 12 else "PM"}"'
+    for kind in ("gas", "flow", "plain", "marked"):
+        (tmp_path / kind).mkdir()
+    for k, own in enumerate(stamps):
+        write(tmp_path / "gas", **{f"f{k}": gas_file([f"{gas(t)},x,{i},70" for i, t in enumerate(own)])})
+        write(tmp_path / "flow", **{f"f{k}": "Time,a\nTime,West Sludge Out (GPM),East Sludge Out (GPM)\n" + "".join(f"{t},{i},2\n" for i, t in enumerate(own))})
+        write(tmp_path / "plain", **{f"f{k}": ("export\n" if k % 2 else "") + ",".join(wide) + "\n" + "".join(",".join([str(t), *["1"] * (len(names) - 1)]) + "\n" for t in own)})
+        write(tmp_path / "marked", **{f"f{k}": "intro\nmore\nISO time,NH3 (PPM)\n" + "".join(f"{t.isoformat()}Z,{i}\n" for i, t in enumerate(own))})
+    loads = {
+        "gas": lambda p: dl.load_sensor_logs(spark, p, "g_"),
+        "flow": lambda p: dl.load_flow_exports(spark, p),
+        "plain": lambda p: dl.load_positional_exports(spark, p),
+        "marked": lambda p: dl.load_marked_table(spark, p),
+    }
+    try:
+        for kind, load in loads.items():
+            with monkeypatch.context() as m:
+                split_anew(spark, m, first, then)
+                assert load(str(tmp_path / kind)).count() == n * files, kind
+        with monkeypatch.context() as m:
+            split_anew(spark, m, first, then)
+            lines = dl.read_lines(spark, str(tmp_path / "flow"))
+            made = dl.quality_tables(lines, dl.settle(dl.best_header(lines)), time_label="Time", expected=["Time"])
+            assert made["data"].count() == n * files and made["skipped"].count() == 0
+            assert then > 100 or made["bad_rows"].count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_lines_are_numbered_over_batches(spark, tmp_path):
+    write(tmp_path, a="".join(f"a{i}\n" for i in range(25)), b="".join(f"b{i}\n" for i in range(7)), c="c0\n")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = dl.read_lines(spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 33 and (got["line"].str[1:].astype(int) == got["seq"]).all()
+
+
 def test_header_rows_reach_the_lines_without_a_shuffle_of_them(spark, tmp_path):
     lines = dl.read_lines(spark, write(tmp_path, a=gas_file(['"9-12-2025, 7-22-54 AM",x,1.5,70'])))
     headers = sinks.settle(dl.fixed_header(lines))
