@@ -1,4 +1,8 @@
-"""Interactive analysis: one object over the frame set, every view a lazy DataFrame."""
+"""Interactive analysis: one object over the frame set, every view a lazy DataFrame.
+
+Over a folder that the build job wrote, a window reads its own dates only: minutes are stored enriched and events are
+stored, so the clip reaches the scans of both.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ class Analysis:
 
     def __init__(self, frames: FrameSet, ts: str = "ts", found: DataFrame | None = None):
         self.frames, self.ts = frames, ts
-        self._found = found
+        self._found = found if found is not None else frames.events
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, ts: str = "ts") -> Analysis:
@@ -38,14 +42,24 @@ class Analysis:
 
     def window(self, mode: str = "full", start=None, end=None) -> Analysis:
         """Clip all frames and the event table; period summaries and metrics follow the clipped rows."""
-        lo, hi = window_bounds(self.frames.minute, self.ts, mode, start, end).first()
+        lo, hi = window_bounds(self._ends(), self.ts, mode, start, end).first()
         return self.between(lo, hi)
 
+    def _ends(self) -> DataFrame:
+        """Rows that hold the first and the last time: where dates are folders, those of the first and the last date."""
+        minute = self.frames.minute
+        if "date" not in minute.columns:
+            return minute
+        first, last = minute.agg(F.min("date"), F.max("date")).first()  # file metadata only
+        return minute.where(F.col("date").isin(first, last)) if first is not None else minute
+
     def between(self, lo, hi) -> Analysis:
         f = self.frames
 
         def clip(df, name):
-            return clip_time(df, name, lo, hi) if df is not None else None
+            if df is None:
+                return None
+            return clip_time(df, name, lo, hi, date_column="date" if "date" in df.columns else None)
 
         daily = clip(f.daily, "day")
         new = replace(
@@ -56,8 +70,9 @@ class Analysis:
             monthly=rollup.month_summary(daily) if daily is not None else f.monthly,
             weekday=rollup.weekday_summary(daily) if daily is not None else f.weekday,
             event_metrics=None if f.minute is not None else f.event_metrics,
+            events=None,
         )
-        return Analysis(new, self.ts, clip(self.events(), self.ts) if f.minute is not None else None)
+        return Analysis(new, self.ts, clip(self.events(), self.ts) if f.minute is not None else clip(f.events, self.ts))
 
     def event_metrics(self) -> DataFrame:
         if self.frames.event_metrics is not None:

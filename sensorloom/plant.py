@@ -83,6 +83,9 @@ LEAK_PATTERNS = ["_t_plus_", "_delta_", "_exceeds_", "target_ready_", "model_row
 LEAK_NAMES = ["split"]
 BOOSTING = {"rate": 0.05, "rounds": 300, "depth": 6, "leaves": 31, "min_leaf": 50, "l2": 0.1, "bins": 255}
 
+# columns that stored minutes have once flows are filled and loads are made
+ENRICHED = ["total_gpm", "lbs_per_min", "transferred_lbs_vol"]
+
 LOW_FLOW_MGD = 0.05
 
 PREAMBLE_LINES = 8
@@ -116,7 +119,6 @@ OPTIONAL_TABLES = {
     ),
 }
 OPTIONAL_DATE_COLUMNS = ["timestamp", "date", "sample_time", "sample_date"]
-TIME_CANDIDATES = ["ISO time", "Datetime", "Time Stamp", "Time"]
 EVENT_METRICS = ["baseline", "post", "delta", "percent_change", "time_to_min", "persistence", "post_iqr"]
 
 assert math.isclose(LBS_PER_GAL, 7.596072)

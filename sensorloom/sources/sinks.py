@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_minutes(df: DataFrame, path: str, ts: str, *, keys: Sequence[str] = ()) -> None:
+def write_minutes(df: DataFrame, path: str, ts: str, *, keys: Sequence[str] = (), only: tuple | None = None) -> None:
     """Minute data by date, clustered so that a date is a few large files, sorted for row-group skipping."""
-    dated = df.withColumn("date", F.to_date(col(ts)))
+    write_dates(df.withColumn("date", F.to_date(col(ts))), path, [*keys, ts], only=only)
+
+
+def write_dates(df: DataFrame, path: str, order: Sequence[str], *, only: tuple | None = None) -> None:
+    """A table with a ``date``, a folder for each. With ``only`` (first, last) just those dates are replaced; one of them
+    that no longer has a row goes."""
+    if only is not None:
+        df = df.where(F.col("date").between(*[F.lit(d).cast("date") for d in only]))
     (
-        dated.repartition("date", *[col(k) for k in keys])
-        .sortWithinPartitions("date", *[col(k) for k in keys], col(ts))
+        df.repartition("date", *[col(k) for k in order[:-1]])
+        .sortWithinPartitions("date", *[col(k) for k in order])
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if only is None else "dynamic")
         .partitionBy("date")
         .parquet(path)
     )
+    if only is not None:
+        _drop_dates(df, path, only)
+
+
+def _drop_dates(df: DataFrame, path: str, only: tuple) -> None:
+    spark = df.sparkSession
+    written = {r[0] for r in df.select("date").distinct().collect()}  # as many as replaced dates
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    day = only[0]
+    while day <= only[1]:
+        if day not in written:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}"), True)
+        day += timedelta(days=1)
 
 
 def write_small(df: DataFrame, path: str) -> None:

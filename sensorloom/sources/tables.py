@@ -89,6 +89,7 @@ class FrameSet:
     monthly: DataFrame | None = None
     weekday: DataFrame | None = None
     event_metrics: DataFrame | None = None
+    events: DataFrame | None = None
     side_tables: dict[str, DataFrame | None] = field(default_factory=dict)
 
 
@@ -101,9 +102,13 @@ def load_frames(
     ts: str = "ts",
     side_tables: dict[str, str] | None = None,
 ) -> FrameSet:
-    """Lazily read the frame set of a folder; hourly data is rebuilt from minutes when absent."""
+    """Lazily read the frame set of a folder; hourly data is rebuilt from minutes when absent.
+
+    Minutes that the build job has enriched already are taken as they are, so that a clip reaches their scan.
+    """
     minute = read_parquet(spark, f"{folder}/minute", ts)
-    minute = enrich(minute) if minute is not None else None
+    if minute is not None and not set(plant.ENRICHED) <= set(minute.columns):
+        minute = enrich(minute)
     hourly = read_parquet(spark, f"{folder}/hourly", ts)
     if hourly is None and minute is not None:
         hourly = hourly_from_minute(minute)
@@ -118,5 +123,6 @@ def load_frames(
         monthly=read_parquet(spark, f"{folder}/monthly"),
         weekday=read_parquet(spark, f"{folder}/weekday"),
         event_metrics=_typed_metrics(read_csv(spark, f"{folder}/event_metrics")),
+        events=read_parquet(spark, f"{folder}/events", ts),
         side_tables=side,
     )
