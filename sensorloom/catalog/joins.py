@@ -61,7 +61,9 @@ def daily_left_joins(spark, d):
                         sum(lbs_per_min) AS lbs_volatile FROM loaded GROUP BY 1) h ON m.ts = h.ts""",
         "site loaded",
         "nh3_roll_mean_15min lbs_volatile",
-    ),
+    )
+    .replace("site AS (", "site AS MATERIALIZED (")
+    .replace("loaded AS (", "loaded AS MATERIALIZED ("),
 )
 def minutes_with_hour_totals(spark, d):
     site = site_minutes(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom import plant
 from sensorloom.catalog.base import Catalog, filled_grid, site_minutes, sql, table
+from sensorloom.catalog.projections import MODELING_SQL
 from sensorloom.functions.numeric import limit_metrics
 from sensorloom.operators import features, model
 from sensorloom.operators.grid import fill_gaps
@@ -16,7 +17,15 @@ CATALOG = Catalog()
 add = CATALOG.add
 
 
-@add("feature_choice")
+@add(
+    "feature_choice",
+    sql(
+        f"""SELECT feature, n_values FROM (UNPIVOT (SELECT count(COLUMNS(lambda c: c NOT IN ('ts', 'p', 'n', 'ferric_d', 'hcl_d', 'split')
+              AND NOT regexp_matches(c, '{"|".join(plant.LEAK_PATTERNS)}'))) FROM ({MODELING_SQL}))
+            ON COLUMNS(*) INTO NAME feature VALUE n_values)""",
+        "loaded",
+    ),
+)
 def feature_choice(spark, d):
     """One row per chosen feature with its number of values in the modeling table."""
     whole = modeling_table(site_minutes(spark, d), "ts")

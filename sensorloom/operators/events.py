@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom import plant
 from sensorloom.functions.names import col, present
 from sensorloom.operators.joins import around_events, to_long
-from sensorloom.operators.quantiles import exact_quantiles, sorted_quantiles
+from sensorloom.operators.quantiles import sorted_quantiles
 from sensorloom.operators.windows import carry
 
 METRICS = ["baseline", "post", "delta", "percent_change", "time_to_min", "persistence", "post_iqr"]
@@ -158,16 +158,27 @@ def per_event_metrics(
 def event_metrics(per_event: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Median of every metric over the events of a kind, and the number of events.
 
-    Kinds can hold any number of events, so the medians use the distributed search.
+    One exchange deals the metrics of a kind and one spilling sort per metric ranks them, so a kind with many events
+    needs no more memory than another.
     """
     kind = [*keys, "chemical", "event_type", "signal"]
     long = to_long(per_event, kind, {m: m for m in METRICS}, "__metric", "__value")
-    medians = exact_quantiles(long, "__value", [0.5], by=[*kind, "__metric"], names=["__median"])
-    counts = per_event.groupBy(*[col(k) for k in kind]).agg(F.count(F.lit(1)).alias("n_events"))
-    wide = medians.groupBy(*[col(k) for k in kind]).agg(
-        *[F.max(F.when(F.col("__metric") == m, F.col("__median"))).alias(m) for m in METRICS]
+    part = Window.partitionBy(*[col(k) for k in kind], F.col("__metric"))
+    ranked = long.select(
+        *[col(k) for k in kind],
+        "__metric",
+        "__value",
+        F.row_number().over(part.orderBy(F.col("__value").asc_nulls_last())).alias("__row"),
+        F.count("__value").over(part).alias("__n"),
+        F.count(F.lit(1)).over(part).alias("__events"),
+    )
+    middle = (F.col("__row") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__row") == F.floor(F.col("__n") / 2) + 1)
+    medians = ranked.where(middle | (F.col("__row") == 1)).groupBy(*[col(k) for k in kind], "__metric").agg(
+        F.avg(F.when(middle & (F.col("__n") > 0), F.col("__value"))).alias("__median"), F.max("__events").alias("__events")
+    )
+    return medians.groupBy(*[col(k) for k in kind]).agg(
+        *[F.max(F.when(F.col("__metric") == m, F.col("__median"))).alias(m) for m in METRICS], F.max("__events").alias("n_events")
     )
-    return counts.join(wide, kind, "left").select(*[col(k) for k in kind], *METRICS, "n_events")
 
 
 def flag_unexpected(metrics: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from sensorloom.functions.timekit import as_time
 from sensorloom.operators.features import first_to_last_change
 from sensorloom.operators.joins import to_long
 from sensorloom.operators.quantiles import exact_quantiles
+from sensorloom.sources.sinks import settle
 
 
 def coverage_pct(value: str | Column, expected: Column | int) -> Column:
@@ -72,9 +73,11 @@ def chemistry_review(df: DataFrame) -> DataFrame:
         mgl = dose_mgl_from_gpm(active, "total_gpm") if len(present(df, [active, "total_gpm"])) == 2 else none
         items[f"{label} dose intensity"] = (mgl, "mg/L", "Primary interpretation metric")
     cols = {f"__i{i}": v for i, (v, _, _) in enumerate(items.values())}
-    long = to_long(df.select(*[v.alias(n) for n, v in cols.items()]), [], {n: n for n in cols}, "k", "v")
+    # four slim columns, written once: the search reads them once a level
+    slim = settle(df.select(*[v.cast("double").alias(n) for n, v in cols.items()]))
+    long = to_long(slim, [], {n: n for n in cols}, "k", "v")
     counts = long.groupBy("k").agg(F.count("v").alias("n"))
-    mids = exact_quantiles(long, "v", [0.5], by=["k"], names=["median"])
+    mids = exact_quantiles(long, "v", [0.5], by=["k"], names=["median"], stored=True)
     labels = F.create_map(
         *[x for i, (name, (_, unit, ok)) in enumerate(items.items())
           for x in (F.lit(f"__i{i}"), F.struct(F.lit(name).alias("item"), F.lit(unit).alias("unit"), F.lit(ok).alias("ok")))]

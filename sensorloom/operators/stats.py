@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +22,64 @@ def _rows(cells: Sequence[dict[str, Column]]) -> Column:
     return F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in cell.items()]) for cell in cells]))
 
 
-def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(i, r)`` for every pair in one scan.
+#: Of a pair's rows: number, sums and squares of either side, products.
+_SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+
+
+def _pair_sums(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """``(a, b)`` numbers of a left and a right column, and ``_SUMS`` over the rows that have both.
 
-    Pairs are rows of one small aggregate that is combined before the shuffle; the
-    generated code does not grow with the number of pairs.
+    Values and the marks of where they are make one matrix a batch; products of such matrices are all sums at once. A task
+    keeps one small matrix, whatever its rows, and only that leaves it. Values are taken from their column's mean.
     """
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    names = list(dict.fromkeys([*left, *right]))
+    value = {n: F.nanvl(col(n).cast("double"), F.lit(None).cast("double")) for n in names}
+    row = df.agg(*[F.avg(value[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    shift = np.array([row[f"m{i}"] or 0.0 for i in range(len(names))])
+    at_left, at_right = [names.index(n) for n in left], [names.index(n) for n in right]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(_SUMS), len(left), len(right)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            mark = ~np.isnan(x)
+            x, mark = np.where(mark, x, 0.0), mark.astype(np.float64)
+            a, b, ma, mb = x[:, at_left].T, x[:, at_right], mark[:, at_left].T, mark[:, at_right]
+            for k, part in enumerate((ma @ mb, a @ mb, ma @ b, (a * a) @ mb, ma @ (b * b), a @ b)):
+                out[k] += part
+        if out[0].any():
+            i, j = np.indices(out[0].shape)
+            cols = [pa.array(i.ravel(), type=pa.int32()), pa.array(j.ravel(), type=pa.int32()), *[pa.array(s.ravel()) for s in out]]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", *_SUMS])
+
+    slim = df.select(*[value[n].alias(f"v{i}") for i, n in enumerate(names)])
+    sums = slim.mapInArrow(run, "a int, b int, " + ", ".join(f"{s} double" for s in _SUMS))
+    noise = F.array(*[F.lit(float(max(abs(v), 1e-150)) * 1e-14) for v in shift])
+    return sums.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS]).select(
+        "*",
+        F.element_at(noise, F.element_at(F.array(*map(F.lit, at_left)), F.col("a") + 1) + 1).alias("ea"),
+        F.element_at(noise, F.element_at(F.array(*map(F.lit, at_right)), F.col("b") + 1) + 1).alias("eb"),
     )
-    found = df.select(F.explode(cells).alias("p")).groupBy("p.i").agg(pearson(F.col("p.x"), F.col("p.y")).alias("r"))
-    frame = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("i"))
-    return frame.join(found, "i", "left")
+
+
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(i, r)`` for every pair; NULL where a side is constant over the pair's rows, up to rounding."""
+    left, right = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    found = _pair_sums(df, left, right)
+    n = F.col("n")
+    va, vb = (F.col(s * 2) - F.col(s) * F.col(s) / n for s in "xy")
+    spread = (va > n * F.col("ea") * F.col("ea")) & (vb > n * F.col("eb") * F.col("eb"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(va * vb)
+    r = F.when(spread, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))  # NULL stays out of the two
+    found = found.where(n > 0).select("a", "b", r.alias("r"))
+    place = [(left.index(a), right.index(b)) for a, b in pairs]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(place)])
+    frame = df.sparkSession.range(1).select(F.explode(cells).alias("c")).select("c.*")
+    return frame.join(F.broadcast(found), ["a", "b"], "left").select("i", "r")  # a row a pair
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long ``(a, b, r)`` matrix. Each pair is computed once, all pairs in one aggregate."""
+    """Long ``(a, b, r)`` matrix. All pairs come from the same small sums; their number does not multiply rows."""
     pairs = list(combinations_with_replacement(columns, 2))
     sides = F.array(
         *[
@@ -221,22 +262,27 @@ def phase_extent(df: DataFrame, phase: str, day: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, phase: str, value: str, *, stored: bool = False) -> DataFrame:
-    """Quartiles, mean ± SD per phase, and whether a log axis is advised for the whole column."""
-    have = df.where(col(phase).isNotNull()).select(col(phase).alias("phase"), col(value).cast("double").alias("v"))
-    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["phase"], names=["q1", "median", "q3"], stored=stored)
-    basic = have.groupBy("phase").agg(
+    """Quartiles, mean ± SD per phase, and whether a log axis is advised for the whole column.
+
+    Each row counts for its phase and for the whole, so one search finds all ranks and one aggregate the rest.
+    """
+    v = col(value).cast("double")
+    groups = F.array_compact(F.array(F.lit(""), F.when(col(phase).isNotNull(), F.concat(F.lit("/"), col(phase).cast("string")))))
+    have = df.select(v.alias("v"), F.explode(groups).alias("g"), col(phase).alias("phase"))
+    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["g"], names=["q1", "median", "q3"], stored=stored)
+    basic = have.groupBy("g").agg(
+        F.first("phase").alias("phase"),
         F.count("v").alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("sd"),
     )
-    middle = exact_quantiles(df, value, [0.5], names=["__mid"], stored=stored)
-    top = df.agg(F.max(col(value).cast("double")).alias("__top"))
-    advice = top.crossJoin(F.broadcast(middle)).select((F.col("__top") > 10 * F.col("__mid")).alias("log_axis"))
-    return (
-        basic.join(quart, "phase", "left")
-        .crossJoin(F.broadcast(advice))  # one row
+    each = basic.join(quart, "g", "left").withColumn("all", F.col("g") == "")
+    whole = F.max(F.when(F.col("all"), F.struct((F.col("high") > 10 * F.col("median")).alias("x")))).over(Window.partitionBy(F.lit(0)))
+    return (  # a row a phase
+        each.withColumn("log_axis", whole["x"])
+        .where("not all")
         .select("phase", "n", "low", "q1", "median", "q3", "high", "mean", "sd", "log_axis")
     )
 

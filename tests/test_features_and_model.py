@@ -159,6 +159,24 @@ def test_correlations(spark):
     assert stats.correlation_matrix(df.limit(0), ["a", "b"]).count() == 4
 
 
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(700, 60)) * rng.uniform(0.1, 1e6, 60) + rng.uniform(-1e6, 1e6, 60), columns=[f"c{i}" for i in range(60)])
+    pdf["c1"] = pdf["c0"] * 2 + rng.normal(size=700)
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1)
+    pdf["c7"] = 0.1
+    df = frame(spark, pdf).repartition(6)
+    out = stats.correlation_matrix(df, list(pdf.columns))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    m = {(r["a"], r["b"]): r["r"] for r in out.collect()}
+    want = pdf.corr()
+    assert len(m) == 3600
+    for a in pdf.columns:
+        for b in pdf.columns:
+            assert m[a, b] is None if "c7" in (a, b) else abs(m[a, b] - want.loc[a, b]) < 1e-9
+    assert plan.count("Generate") <= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_trend(spark):
     row = stats.linear_trend(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (4.0, 8.0), (5.0, None)], "x double, y double"), "x", "y").first()
     same([row["slope"], row["intercept"], row["r2"], row["n"]], [2, 0, 1, 4])
