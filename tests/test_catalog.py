@@ -30,4 +30,4 @@ def test_entry(spark):
 
 def test_sql_has_no_orphans():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) <= {"welch_p_values", "boosted_forecast", "boosted_forecast_metrics"}
+    assert set(QUERIES) - set(SQL) <= {"boosted_forecast", "boosted_forecast_metrics"}

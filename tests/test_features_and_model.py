@@ -193,11 +193,26 @@ def test_welch(spark):
     assert 0.05 < got[0]["p"] < 0.5 and not got[0]["significant"]
 
 
-def test_student_p_against_printed_table():
+def p_of(spark, rows):
+    df = spark.createDataFrame(rows, "t double, df double")
+    return [r.p for r in df.coalesce(1).select(stats.student_p(F.col("t"), F.col("df")).alias("p")).collect()]
+
+
+def test_student_p_against_printed_table(spark):
     # two-sided 5 % points of Student's t
-    for df, t in ((1, 12.706), (5, 2.571), (10, 2.228), (30, 2.042), (120, 1.980)):
-        assert stats.student_p(t, df) == pytest.approx(0.05, abs=2e-4)
-    assert stats.student_p(0.0, 7) == pytest.approx(1.0)
+    table = [(12.706, 1.0), (2.571, 5.0), (2.228, 10.0), (2.042, 30.0), (1.980, 120.0)]
+    same(p_of(spark, table), [0.05] * 5, 4e-4)
+    assert p_of(spark, [(0.0, 7.0), (math.inf, 7.0), (None, 7.0), (1.0, None)]) == [1.0, 0.0, None, None]
+
+
+def test_student_p_against_closed_forms(spark):
+    ts = [-40.0, 1e-6, 0.3, 1.0, 1.7, 1.75, 2.0, 5.0, 30.0]
+    same(p_of(spark, [(t, 1.0) for t in ts]), [1 - 2 / math.pi * math.atan(abs(t)) for t in ts], 1e-10)
+    same(p_of(spark, [(t, 2.0) for t in ts]), [1 - abs(t) / math.sqrt(2 + t * t) for t in ts], 1e-10)
+    # at many degrees of freedom the normal distribution, up to a share of 1 / df
+    for df in (1e10, 1e13):
+        got, want = p_of(spark, [(t, df) for t in ts[1:-1]]), [math.erfc(abs(t) / math.sqrt(2)) for t in ts[1:-1]]
+        np.testing.assert_allclose(got, want, rtol=1e-7)
 
 
 def test_axis_and_histogram(spark):
