@@ -11,7 +11,7 @@ from sensorloom import plant
 from sensorloom.functions.names import col
 from sensorloom.functions.timekit import bin_start
 from sensorloom.operators.events import transitions
-from sensorloom.operators.grid import fill_gaps, minute_grid
+from sensorloom.operators.grid import filled_minutes, minute_grid
 from sensorloom.session import prepare
 from sensorloom.sources.tables import read_parquet
 
@@ -75,14 +75,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 # ----------------------------------------------------------- shared inputs
+def signal_log(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(F.col("event_type").alias("k"), "ts", F.col("value").alias("v"))
+
+
 def signal_grid(spark: SparkSession, folder: str) -> DataFrame:
     """``(k, ts, v)``: mean event value per type on the complete minute grid."""
-    ev = table(spark, folder, "events").select(F.col("event_type").alias("k"), "ts", F.col("value").alias("v"))
-    return minute_grid(ev, "ts", means=["v"], keys=["k"])
+    return minute_grid(signal_log(spark, folder), "ts", means=["v"], keys=["k"])
 
 
 def filled_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return fill_gaps(signal_grid(spark, folder), "ts", ["v"], limit=plant.GAP_LIMIT_MIN, keys=["k"])
+    """The same with short gaps filled."""
+    log = signal_log(spark, folder)
+    return filled_minutes(log, "ts", means=["v"], keys=["k"], fill=["v"], limit=plant.GAP_LIMIT_MIN)
 
 
 def site_minutes(spark: SparkSession, folder: str) -> DataFrame:

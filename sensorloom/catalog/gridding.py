@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom import plant
-from sensorloom.catalog.base import Catalog, filled_grid, signal_grid, site_minutes, sql, table
+from sensorloom.catalog.base import Catalog, filled_grid, signal_grid, signal_log, site_minutes, sql, table
 from sensorloom.operators import dosing, rollup
-from sensorloom.operators.grid import mark_missing
-from sensorloom.operators.windows import forward_fill
+from sensorloom.operators.grid import filled_minutes
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -16,7 +15,7 @@ add = CATALOG.add
 
 @add("minute_grid", sql("SELECT k, ts, v, CAST(v IS NULL AS BIGINT) AS interp_flag FROM grid", "grid", "v"))
 def minute_grid_query(spark, d):
-    return mark_missing(signal_grid(spark, d), ["v"])
+    return filled_minutes(signal_log(spark, d), "ts", means=["v"], keys=["k"], flag="interp_flag")
 
 
 @add("gap_fill", sql("SELECT k, ts, v FROM filled", "filled", "v"))
@@ -34,7 +33,7 @@ def gap_fill(spark, d):
     ),
 )
 def forward_fill_query(spark, d):
-    return forward_fill(signal_grid(spark, d), "ts", ["v"], keys=["k"], default=0.0)
+    return filled_minutes(signal_log(spark, d), "ts", means=["v"], keys=["k"], carried={"v": 0.0})
 
 
 @add(

@@ -14,7 +14,7 @@ from sensorloom.functions.numeric import number
 from sensorloom.functions.timekit import minutes_between
 from sensorloom.operators import dosing, features
 from sensorloom.operators.clean import coerce, first_filled
-from sensorloom.operators.grid import fill_gaps, mark_missing, minute_grid
+from sensorloom.operators.grid import filled_minutes
 from sensorloom.operators.windows import carry, chronological_split, with_halo
 from sensorloom.operators.joins import outer_merge
 
@@ -42,10 +42,10 @@ def preprocess(
     binary = nm.binary_names(values, plant.BINARY_SUFFIX, plant.BINARY_NAMES)
     continuous = [n for n in values if n not in binary]
     df = coerce(df, continuous, binary)
-    df = minute_grid(df, ts, means=continuous, maxima=binary, keys=keys)
-    df = mark_missing(df, continuous)
     held = [c for c in continuous if any(w in c for w in hold_words)]
-    df = fill_gaps(df, ts, continuous, limit=limit, hold=held, keys=keys)
+    df = filled_minutes(
+        df, ts, means=continuous, maxima=binary, keys=keys, fill=continuous, limit=limit, hold=held, flag="interp_flag"
+    )
     return df.withColumns({b: F.coalesce(col(b), F.lit(0)).cast("int") for b in binary}) if binary else df
 
 

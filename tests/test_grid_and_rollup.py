@@ -59,6 +59,56 @@ def test_grid_bins_and_flags(spark):
     same(got["on"], [1, N, N, N, 0])
 
 
+def gappy(seed):
+    """Two series of several days with gaps of minutes and of days, rows without a value, an unfilled column."""
+    rng, parts = np.random.default_rng(seed), []
+    for k in ("a", "b"):
+        t = np.concatenate([np.arange(700, 1500), np.arange(1500, 1600, 13), np.arange(6100, 6400), [9000, 9001]])
+        t = t[rng.random(len(t)) > 0.3] * 60 + 17
+        v = np.where(rng.random(len(t)) < 0.3, np.nan, rng.normal(5, 2, len(t)))
+        parts.append(pd.DataFrame({"k": k, "ts": pd.Timestamp("2026-01-01") + pd.to_timedelta(t, "s"), "v": v, "w": v * 2 + 1, "on": rng.integers(0, 2, len(t))}))
+    return pd.concat(parts)
+
+
+def test_one_layout_equals_pandas(spark):
+    pdf = gappy(3)
+    got = grid.filled_minutes(
+        frame(spark, pdf), "ts", means=["v", "w"], maxima=["on"], keys=["k"], fill=["v"], limit=10, carried={"w": -1.0}, flag="gap"
+    )
+    assert got.columns == ["k", "ts", "v", "w", "on", "gap"]
+    got = pandas_of(got, ["k", "ts"])
+    for k, part in pdf.groupby("k"):
+        part = part.assign(ts=part["ts"].dt.floor("min")).groupby("ts").agg({"v": "mean", "w": "mean", "on": "max"}).asfreq("1min")
+        mine = got[got["k"] == k]
+        assert mine["ts"].tolist() == part.index.tolist()
+        same(mine["v"], part["v"].interpolate(method="time", limit=10))
+        same(mine["w"], part["w"].ffill().fillna(-1.0))
+        same(mine["on"], part["on"])
+        assert mine["gap"].tolist() == part["v"].isna().astype(int).tolist()
+
+
+def test_one_layout_without_keys_and_rows(spark):
+    pdf = gappy(4).query("k == 'a'")[["ts", "v"]]
+    got = grid.filled_minutes(frame(spark, pdf), "ts", means=["v"], minutes=60, fill=["v"], limit=90, hold=["v"])
+    want = pdf.assign(ts=pdf["ts"].dt.floor("h")).groupby("ts")["v"].mean().asfreq("1h")
+    steps = pandas_of(grid.fill_gaps(frame(spark, want.reset_index()), "ts", ["v"], limit=90, hold=["v"]), ["ts"])
+    got = pandas_of(got, ["ts"])
+    assert got["ts"].tolist() == want.index.tolist()
+    same(got["v"], steps["v"])
+    assert grid.filled_minutes(frame(spark, pdf).limit(0), "ts", means=["v"], fill=["v"], limit=5).count() == 0
+
+
+def test_one_layout_reads_its_log_once(spark, tmp_path):
+    frame(spark, gappy(5)).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    df = grid.filled_minutes(log, "ts", means=["v", "w"], maxima=["on"], keys=["k"], fill=["v", "w"], limit=10)
+    df.collect()
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 6  # two of them a repeat
+
+
 def test_nan_counts_as_missing(spark):
     df = spark.sql("SELECT timestamp'2026-01-01 00:00' AS ts, double('NaN') AS v UNION ALL SELECT timestamp'2026-01-01 00:00', 4D")
     assert grid.minute_grid(df, "ts", means=["v"]).first()["v"] == 4.0
