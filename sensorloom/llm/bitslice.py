@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one index block, a multiple of 64, and queries of one group.
-BLOCK_ROWS, GROUP = 16_384, 64
+#: Rows of one index block, a multiple of 64, queries of one group, and groups that meet a block in one row.
+BLOCK_ROWS, GROUP, GROUPS_A_ROW = 16_384, 64, 32
 #: Low bits of an attribute that the index leaves out; the rows they could decide are resolved exactly.
 DROPPED = 1
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,8 +158,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int, *, vec_id: str = "vec_id"
     null, NaN or infinite component take no part. A missing component of a shorter vector counts as 0; equal vectors
     are separate rows. Rows with a null id take no part. Fewer rows than ``k``: all of them; no row gives no row.
 
-    The rows become blocks of bit slices; groups of queries meet every block, and only ``k`` rows per query and block
-    are shuffled. A query's own row is left out by id.
+    The rows become blocks of bit slices; runs of queries, about ``GROUP * GROUPS_A_ROW`` at most, meet every block, and
+    only ``k`` rows per query and block are shuffled. A query's own row is left out by id. Other columns aren't read,
+    whatever their names.
     """
     spark = vectors.sparkSession
     narrow = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
@@ -179,8 +180,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int, *, vec_id: str = "vec_id"
     part = narrow.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).groupBy("blk").agg(
         F.collect_list(F.struct("id", "v")).alias("held")  # about BLOCK_ROWS rows each
     )
-    # every group visits every block: the small side is copied, in as few runs as keep all tasks busy
-    runs = max(1, min(groups, -(-2 * tasks // blocks)))
+    # every group visits every block, in runs: enough to keep all tasks busy, and none with more queries than a row should hold
+    runs = max(1, min(groups, -(-2 * tasks // blocks)), -(-groups // GROUPS_A_ROW))
     held = part.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     visits = asked.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn(
         "run", (F.col("grp") % runs).cast("int")

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sensorloom.llm import bitslice
 from sensorloom.llm.bitslice import top_k
 
 
@@ -30,6 +31,20 @@ def test_matches_plain_search_with_ties(spark):
     assert run(spark, rows, 5) == plain([r[:2] for r in rows], 5, 256)
 
 
+def test_many_blocks_meet_runs_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(bitslice, "GROUP", 4)
+    monkeypatch.setattr(bitslice, "GROUPS_A_ROW", 2)
+    met = []
+    inner = bitslice._best
+    monkeypatch.setattr(bitslice, "_best", lambda df, k, dims: met.append(df) or inner(df, k, dims))
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)], "x", 1) for i in range(1500)]
+    assert run(spark, rows, 3) == plain([r[:2] for r in rows], 3, 256)
+    size = met[0].agg(F.max(F.size("asked")).alias("m"), F.count("*").alias("n")).first()
+    assert size.m < 40 and size.n > 24 * 8  # 500 queries, hashed to groups of about 4, two groups in a row
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (7, [-1.0, 3.0, 4.0])]
     rows += [(9, [1e6, -1e6]), (None, [1.0, 1.0]), (12, [0.0, 0.0])]
