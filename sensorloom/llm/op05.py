@@ -11,8 +11,10 @@ FOLDS, HELD_OUT, LEAST = 5, 0, 0.5
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    known = sample(labels(spark, folder).where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)))
-    train = durable(docs.select("doc_id", "text").join(known.select("doc_id", F.col("toxic").alias("y")), "doc_id"))
+    given = labels(spark, folder).where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
+    known = sample(given.select("doc_id", F.col("toxic").alias("y")).distinct())
+    # the ids of the sample, two rows each at most, go to the texts, not the texts to them
+    train = durable(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
     lexicon = learn_lexicon(train)
     seen = described(train, lexicon, keep=["y"]).select("features", "y").collect()  # the sample's rows only
     weights = fit_weights([(list(r.features), r.y) for r in seen])

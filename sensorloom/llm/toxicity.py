@@ -19,9 +19,13 @@ from sensorloom.llm.common import fresh, slices, texts, with_columns
 #: Labelled rows that the lexicon and the weights are learned from, at most, drawn by a hash of the id.
 SAMPLE = 24_000
 #: A term is in the lexicon if it is in enough toxic documents and its share of toxic ones is high enough.
-LEAST_DOCS, LEAST_SHARE, STEM, MOST_TERMS = 4, 0.9, (3, 8), 4_000
+LEAST_DOCS, LEAST_SHARE, STEM = 4, 0.9, (3, 8)
+#: Letters of the longest word that can be a term; a longer run without blanks isn't a word.
+LONGEST = 40
 #: Letters from which one edit is allowed in a whole term; shorter terms and stems must be met exactly.
 EDIT_FROM = 5
+#: Letters from which a second edit is allowed, and how many letters of the term must come before that edit.
+TWICE_FROM, TWICE_AFTER = 8, 4
 #: Words on each side of a hit that make up its context.
 CONTEXT = 6
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -37,7 +41,7 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Whole words and stems that begin words, each with its log odds, and clean words within an edit of a term."""
+    """Whole words and stems that begin words, each with its log odds, and clean words within the edits of a term."""
 
     terms: tuple[tuple[str, float], ...]
     stems: tuple[tuple[str, float], ...]
@@ -60,8 +64,9 @@ def words(text: str) -> list[str]:
 class Matcher:
     """The Levenshtein automaton of a word run over the trie of the lexicon, made deterministic as it is used.
 
-    A state is the set of (trie node, edits so far) that the letters read may have led to. Which next state a letter leads
-    to is worked out once and kept, so that a word costs a step per letter.
+    A state is the set of (trie node, edits so far, letter owed) that the letters read may have led to; a letter is owed in
+    the middle of two swapped ones. Which next state a letter leads to is worked out once and kept, so that a word costs a
+    step per letter. An edit is a letter left out, added, replaced, or swapped with its neighbour.
     """
 
     KEPT = 200_000
@@ -72,6 +77,7 @@ class Matcher:
         self.term: list[float] = [0.0]
         self.stem: list[float] = [0.0]
         self.reach: list[int] = [0]  # length of the longest term below a node
+        self.depth: list[int] = [0]
         for entries, odds in ((lexicon.terms, self.term), (lexicon.stems, self.stem)):
             for w, weight in entries:
                 at, path = 0, [0]
@@ -82,6 +88,7 @@ class Matcher:
                         self.term.append(0.0)
                         self.stem.append(0.0)
                         self.reach.append(0)
+                        self.depth.append(self.depth[at] + 1)
                     at = self.child[at][c]
                     path.append(at)
                 odds[at] = weight
@@ -95,15 +102,26 @@ class Matcher:
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
         self.value: list[tuple[float, float, float]] = []  # log odds: as a term, within an edit, as a stem
-        self.begin = self._state(self._closed({(0, 0)}))
+        self.begin = self._state(self._closed({(0, 0, "")}))
+
+    def _may(self, node: int, edits: int) -> bool:
+        """One more edit behind the node can still lead to a term that allows it."""
+        if edits == 0:
+            return self.reach[node] >= EDIT_FROM
+        return edits == 1 and self.reach[node] >= TWICE_FROM and self.depth[node] >= TWICE_AFTER
 
     def _closed(self, states: set) -> frozenset:
         """With letters of the term left out: an edit that reads nothing."""
-        more = {(n, 1) for s, e in states if e == 0 for n in self.child[s].values() if self.reach[n] >= EDIT_FROM}
-        least: dict[int, int] = {}
-        for s, e in states | more:
-            least[s] = min(e, least.get(s, 2))
-        return frozenset(least.items())
+        least: dict[tuple[int, str], int] = {}
+        todo = sorted(states, key=lambda x: -x[1])
+        while todo:
+            s, e, owed = todo.pop()
+            if least.get((s, owed), 3) <= e:
+                continue
+            least[s, owed] = e
+            if not owed and self._may(s, e):
+                todo += [(n, e + 1, "") for n in self.child[s].values()]
+        return frozenset((s, e, owed) for (s, owed), e in least.items())
 
     def _state(self, states: frozenset) -> int:
         got = self.ids.get(states)
@@ -111,26 +129,35 @@ class Matcher:
             got = self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.step.append({})
-            exact = max((self.term[s] for s, e in states if e == 0), default=0.0)
-            near = max((self.term[s] for s, e in states if e == 1 and self.reach[s] >= EDIT_FROM), default=0.0)
-            stem = max((self.stem[s] for s, e in states if e == 0), default=0.0)
+            whole = [(s, e) for s, e, owed in states if not owed]
+            exact = max((self.term[s] for s, e in whole if e == 0), default=0.0)
+            near = max((self.term[s] for s, e in whole if e and self.depth[s] >= (0, EDIT_FROM, TWICE_FROM)[e]), default=0.0)
+            stem = max((self.stem[s] for s, e in whole if e == 0), default=0.0)
             self.value.append((exact, near, stem))
         return got
 
     def _next(self, state: int, c: str) -> int:
         out = set()
-        for s, e in self.sets[state]:
+        for s, e, owed in self.sets[state]:
+            if owed:
+                if owed == c:
+                    out.add((s, e, ""))
+                continue
             n = self.child[s].get(c)
             if n is not None:
-                out.add((n, e))
-            if e == 0 and self.reach[s] >= EDIT_FROM:
-                out.add((s, 1))  # a letter too many
-                out.update((x, 1) for x in self.child[s].values() if self.reach[x] >= EDIT_FROM)  # another letter
+                out.add((n, e, ""))
+            if self._may(s, e):
+                out.add((s, e + 1, ""))  # a letter too many
+                for x, to in self.child[s].items():
+                    out.add((to, e + 1, ""))  # another letter
+                    beyond = self.child[to].get(c)
+                    if beyond is not None and x != c:
+                        out.add((beyond, e + 1, x))  # the next two letters swapped
         self.step[state][c] = got = self._state(self._closed(out))
         return got
 
     def find(self, word: str) -> tuple[int, float]:
-        """Kind and log odds: 1 a term, 2 begins with a stem, 3 within an edit of a term and not known as clean; else 0."""
+        """Kind and log odds: 1 a term, 2 begins with a stem, 3 within the edits of a term and not known as clean; else 0."""
         state, stem = self.begin, 0.0
         step, value = self.step, self.value
         for c in word:
@@ -216,8 +243,9 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
     A term or stem must be in at least ``LEAST_DOCS`` toxic documents, and ``LEAST_SHARE`` of its documents, weighted as if
     both classes were equally many, must be toxic. A stem carries four words or more. Spark counts documents per word; the
-    prefixes that could pass by the sums over their words are then counted per document. The lexicon has at most
-    ``MOST_TERMS`` of each, the most frequent ones, and ten times as many clean neighbours.
+    prefixes that could pass by the sums over their words are then counted per document. All that pass are taken, and all
+    clean words within the edits of a term: the only bound is that of the labelled rows. Words longer than ``LONGEST``
+    are no terms. Repeated rows count each time; an empty table, or one class alone, gives an empty lexicon.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +262,19 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
         return Lexicon((), (), ())
     given = labelled.select("text", F.col("y").cast("long").alias("y"))
     counts = [F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")]
-    per_word = given.mapInArrow(split, "word string, y long").groupBy("word").agg(*counts).where(F.length("word") <= 40)
+    per_word = given.mapInArrow(split, "word string, y long").groupBy("word").agg(*counts).where(F.length("word") <= LONGEST)
 
-    def telling(df: DataFrame, share: float, most: int) -> list[tuple[str, float]]:
+    def telling(df: DataFrame, share: float) -> list[tuple[str, float]]:
         toxic_share = (F.col("t") / tox) / (F.col("t") / tox + F.col("c") / other)
         odds = F.log((F.col("t") + 0.5) / (tox + 1)) - F.log((F.col("c") + 0.5) / (other + 1))
-        best = df.where((F.col("t") >= LEAST_DOCS) & (toxic_share >= share)).orderBy(F.desc("t"), "word").limit(most)
+        best = df.where((F.col("t") >= LEAST_DOCS) & (toxic_share >= share)).orderBy(F.desc("t"), "word")
         return [(r.word, round(r.odds, 6)) for r in best.select("word", odds.alias("odds")).collect()]
 
     lengths = F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))
     long_enough = per_word.where(F.length("word") > STEM[0])
     by_prefix = long_enough.select(F.explode(F.transform(lengths, lambda k: F.left("word", k))).alias("word"), "t", "c")
     sums = by_prefix.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("kinds"))
-    likely = frozenset(w for w, _ in telling(sums.where("kinds >= 4"), 0.6, 10 * MOST_TERMS))
+    likely = frozenset(w for w, _ in telling(sums.where("kinds >= 4"), 0.6))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -256,8 +284,8 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
             tox_ = [y for y, ws in zip(ys, found) for _ in ws]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array(tox_, pa.int64())], names=["word", "y"])
 
-    stems = telling(given.mapInArrow(met, "word string, y long").groupBy("word").agg(*counts), LEAST_SHARE, MOST_TERMS)
-    terms = telling(per_word, LEAST_SHARE, MOST_TERMS)
+    stems = telling(given.mapInArrow(met, "word string, y long").groupBy("word").agg(*counts), LEAST_SHARE)
+    terms = telling(per_word, LEAST_SHARE)
     trial = Lexicon(tuple(sorted(terms)), tuple(sorted(stems)), ())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,14 +295,19 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
             yield b.filter(pa.array(hits, pa.bool_()))
 
     clean = per_word.where("c > 0").select("word", "c").mapInArrow(near, "word string, c long")
-    clean_words = [r.word for r in clean.orderBy(F.desc("c"), "word").limit(10 * MOST_TERMS).collect()]
+    clean_words = [r.word for r in clean.select("word").collect()]
     return Lexicon(trial.terms, trial.stems, tuple(sorted(clean_words)))
 
 
 def described(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) and ``features`` of the whole text; null texts are empty."""
+    """The columns ``keep`` (all) and ``features`` of the whole text; null texts are empty, very long ones are read whole.
+
+    A kept column named like one of the results (features, score, predicted) gives way to it. An empty table gives an
+    empty result; equal texts get equal features.
+    """
     carried = fresh(docs, "tox_text")
-    base = docs.select(*[col(c) for c in (docs.columns if keep is None else keep)], col(text).cast("string").alias(carried))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("features", "score", "predicted")]
+    base = docs.select(*[col(c) for c in kept], col(text).cast("string").alias(carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = None
