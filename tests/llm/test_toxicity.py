@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.toxicity import Lexicon, Matcher, Scanner, described, fit_weights, learn_lexicon, scored, words
 
 TERMS, STEMS = ("idiot", "scum", "worthless", "moron"), ("lostr", "vequ")
-LEX = Lexicon(tuple((t, 3.0) for t in TERMS), tuple((s, 2.0) for s in STEMS), ("idiom",))
+LEX = Lexicon(tuple((t, 3.0) for t in TERMS), tuple((s, 2.0) for s in STEMS), ("idiom",), 8)
 
 
 def reachable(word, term):
@@ -49,6 +49,8 @@ def test_automaton_matches_plain_edit_distance():
     for w in made:
         assert matcher.find(w)[0] == plain(w), w
     assert [matcher.find(w)[0] for w in ("idoit", "wortles", "idiom", "scun")] == [3, 3, 0, 0]
+    once = Matcher(Lexicon(LEX.terms, LEX.stems, LEX.clean))
+    assert [once.find(w)[0] for w in ("idoit", "wortles", "worhtless")] == [3, 0, 3]
 
 
 def test_words_read_signs_as_letters():
