@@ -52,6 +52,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names, in any spelling: a result column takes the place of an equally named one."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone])
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sensorloom.functions.names import col
-from sensorloom.llm.common import fresh, raw, slices, with_columns
+from sensorloom.llm.common import fresh, raw, slices, with_columns, without
 
 FEATURES = (
     "log words", "mean word length", "word length spread", "distinct words", "neighbour repeats", "capitals", "digits",
@@ -59,9 +59,13 @@ def statistics(text: bytes) -> list[float]:
 
 
 def described(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) and ``features``, an array, of the whole text; a null or blank text has zeros."""
+    """The columns ``keep`` (all) and ``features``, an array, of the whole text; a null or blank text has zeros.
+
+    A kept column named ``features`` gives way to the new one.
+    """
     carried = fresh(docs, "stat_text")
-    base = docs.select(*[col(c) for c in (docs.columns if keep is None else keep)], col(text).cast("string").alias(carried))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "features"]
+    base = docs.select(*[col(c) for c in kept], col(text).cast("string").alias(carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, carried):
@@ -149,8 +153,9 @@ def scored(rows: DataFrame, model: Discriminant | None, *, least: float = 0.7) -
     """Rows of ``described`` without the features, with ``score`` (0 to 1) and ``predicted`` (1 from ``least`` on).
 
     Blank texts are scored like others, by their zeros. Without a model every score is 0.5. Equal texts get equal
-    scores; an empty table gives an empty result.
+    scores; an empty table gives an empty result. Columns named ``score`` or ``predicted`` give way to the new ones.
     """
+    rows = without(rows, "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

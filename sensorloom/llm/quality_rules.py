@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sensorloom.functions.names import col
-from sensorloom.llm.common import BLANKS, fresh, raw, slices, with_columns
+from sensorloom.llm.common import BLANKS, fresh, raw, slices, with_columns, without
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -64,9 +64,13 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) and ``COUNTS`` of the whole text (null: none of anything)."""
+    """The columns ``keep`` (all) and ``COUNTS`` of the whole text (null: none of anything).
+
+    A kept column with the name of a count gives way to it.
+    """
     carried = fresh(docs, "rule_text")
-    base = docs.select(*[col(c) for c in (docs.columns if keep is None else keep)], col(text).cast("string").alias(carried))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in COUNTS]
+    base = docs.select(*[col(c) for c in kept], col(text).cast("string").alias(carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, carried):
@@ -145,14 +149,18 @@ def judged(rows: DataFrame, *, lang: str = "lang", source: str = "source") -> Da
 
     ``rows`` is read twice, so pass a durable table. A row is kept if it passes the base rules and breaks no fence of its
     group. Null languages and sources are groups of their own; the values of a hot group meet in one sketch of a few
-    hundred counts. An empty table gives an empty result.
+    hundred counts. An empty table gives an empty result. Columns with the names of the three new ones give way to them.
     """
     limits = fences(sketches(rows, lang, source))
-    met = rows.join(limits, rows[lang].eqNullSafe(limits.g_lang) & rows[source].eqNullSafe(limits.g_source))
-    broken = sum(
-        (F.when((thousandths(r) > F.col(f"high_{r.name}")) | (thousandths(r) < F.col(f"low_{r.name}")), 1).otherwise(0) for r in RULES),
-        F.lit(0),
-    )
-    drop = ["g_lang", "g_source", *[f"{s}_{r.name}" for r in RULES for s in ("low", "high")]]
-    out = met.withColumn("base_failed", base_failed()).withColumn("n_broken", broken.cast("long")).drop(*drop)
+    named = {c: fresh(rows, f"fence_{c}") for c in limits.columns}
+    limits = limits.withColumnsRenamed(named)
+    met = rows.join(limits, rows[lang].eqNullSafe(limits[named["g_lang"]]) & rows[source].eqNullSafe(limits[named["g_source"]]))
+
+    def outside(r: Rule) -> Column:
+        value = thousandths(r)
+        return (value > F.col(named[f"high_{r.name}"])) | (value < F.col(named[f"low_{r.name}"]))
+
+    n_broken = sum((F.when(outside(r), 1).otherwise(0) for r in RULES), F.lit(0)).cast("long")
+    old = [col(c) for c in rows.columns if c.lower() not in ("base_failed", "n_broken", "kept")]
+    out = met.select(*old, base_failed().alias("base_failed"), n_broken.alias("n_broken"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_broken") == 0))

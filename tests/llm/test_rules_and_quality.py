@@ -78,3 +78,16 @@ def test_quality_of_odd_rows(odd, none):
     assert {r.score for r in out.collect()} == {0.5} and out.count() == 14
     assert scored(described(none, keep=["doc_id"]), None).count() == 0
     assert fit(described(odd, keep=["doc_id"]).withColumn("q", F.lit(1)), "q") is None
+
+
+def test_clashing_names_give_way(odd, none):
+    names = [*COUNTS, "Features", "predicted", "base_failed", "n_broken", "Kept", "g_lang", "low_symbols", "high_repeats", "stat_text", "rule_text"]
+    more = odd.drop("features").withColumns({n: F.lit("x") for n in names})
+    wide, lean = judged(durable(measured(more))), judged(durable(measured(odd, keep=["doc_id", "lang", "source"])))
+    same = ["doc_id", *COUNTS, "base_failed", "n_broken", "kept"]
+    assert sorted(map(str, wide.select(same).collect())) == sorted(map(str, lean.select(same).collect()))
+    assert wide.select("g_lang", "low_symbols", "score").distinct().collect() == [("x", "x", "x")]
+    got = scored(described(more), None)
+    assert {(r.score, r.predicted, r.n_words) for r in got.collect()} == {(0.5, 0, "x")} and got.count() == 14
+    assert "Features" not in got.columns and scored(described(more.limit(0)), None).count() == 0
+    assert judged(durable(measured(more.limit(0)))).count() == 0
