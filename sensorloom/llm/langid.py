@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sensorloom.functions.names import col
-from sensorloom.llm.common import fresh, slices, texts, with_columns
+from sensorloom.llm.common import fresh, slices, texts, with_columns, without
 
 UNKNOWN = "und"
 #: Labelled text per language: documents of at most ``DOC_CHARS`` characters, then the beginnings of longer ones, until
@@ -22,7 +22,7 @@ UNKNOWN = "und"
 LANG_CHARS, DOC_CHARS = 24_000, 4_000
 #: Documents are parsed in blocks of this many characters; a phrase ends with its block.
 BLOCK = 512
-_PAD = 0  # symbol codes: 0 padding, 1 anything that no training text holds
+_OTHER = 0  # symbol code of anything that no training text holds
 
 
 @dataclass(frozen=True)
@@ -85,8 +85,8 @@ def symbols(text: str) -> np.ndarray:
     return points[word | np.append(True, word[:-1])] if len(points) else points
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transition table ``[state, symbol]`` of the suffix automaton of coded text; -1 where there is none."""
+def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Steps of each state of the suffix automaton of coded text: symbol to next state. State 0 is the root."""
     links, lengths, step, last = [-1], [0], [{}], 0
     for c in text.tolist():
         here = len(step)
@@ -111,65 +111,102 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[here] = copy
         last = here
-    table = np.full((len(step), width), -1, dtype=np.int32)
-    for s, out in enumerate(step):
-        if out:
-            table[s, list(out)] = list(out.values())
-    return table
+    return step
+
+
+def packed(steps: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(base, owner, target)``: all steps in one row of cells, those of a state laid into the gaps between others'.
+
+    The step of state ``s`` by symbol ``c`` is in cell ``base[s] + c``, if the owner of that cell is ``s``. Cells are about as
+    many as steps, whatever the number of symbols. States with many steps are placed first.
+    """
+    taken = bytearray(2 * width)
+    base = np.zeros(len(steps), dtype=np.int32)
+    begin: dict[int, int] = {}  # where the search for states with as many steps goes on
+    for s in sorted((s for s, out in enumerate(steps) if out), key=lambda s: -len(steps[s])):
+        out = sorted(steps[s])
+        rest = [c - out[0] for c in out[1:]]
+        cell = begin.get(len(out), -1)
+        while True:
+            cell = taken.find(0, cell + 1)
+            if cell < 0 or cell + width >= len(taken):
+                cell = len(taken) if cell < 0 else cell
+                taken.extend(bytes(len(taken)))
+            if not any(taken[cell + r] for r in rest):
+                break
+        begin[len(out)] = cell
+        base[s] = cell - out[0] + width  # cells are moved by a width, so no base is negative
+        taken[cell] = 1
+        for r in rest:
+            taken[cell + r] = 1
+    size = int(base.max(initial=0)) + width + 1
+    owner, target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+    for s, out in enumerate(steps):
+        for c, to in out.items():
+            owner[base[s] + c], target[base[s] + c] = s, to
+    return base, owner, target
 
 
 class Parser:
     """Counts phrases of many blocks of text at once, in all languages.
 
     A phrase is the longest run of symbols, from where the last one ended, that the training text holds; a symbol that it
-    doesn't hold is a phrase of its own. One table step does it: the next state, and how many phrases ended.
+    doesn't hold is a phrase of its own. Steps of the automata are stored sparsely (``packed``), so a language of many
+    letters takes no more memory than one of few.
     """
 
     def __init__(self, samples: Samples):
         coded = [symbols(t) for t in samples.texts]
         seen = np.unique(np.concatenate(coded)) if coded else np.array([], dtype=np.uint32)
-        self.langs, self.width = samples.langs, len(seen) + 2
-        self.code = np.ones(1 << 16, dtype=np.uint16)
-        self.code[seen] = np.arange(2, self.width, dtype=np.uint16)
-        tables, base = [], 0
-        self.roots = []
+        width = len(seen) + 1
+        self.langs = samples.langs
+        self.code = np.full(1 << 16, _OTHER, dtype=np.uint16)
+        self.code[seen] = np.arange(1, width, dtype=np.uint16)
         # one price for a phrase in all languages: with its own length a language with little text would look cheap
         self.bits = float(np.log2(max([2, *map(len, coded)])))
+        self.tables = []
         for c in coded:
-            step = suffix_automaton(self.code[c], self.width)
-            fails = step < 0
-            root = step[0].copy()
-            ended = np.where(fails, np.where(root < 0, 2, 1).astype(np.int32)[None, :], np.int32(0))
-            ended[0] = np.where(fails[0], 1, 0)
-            to = np.where(fails, np.maximum(root, 0)[None, :], step)
-            to[:, _PAD], ended[:, _PAD] = np.arange(len(step)), 0
-            tables.append(((to + base) << 2 | ended).astype(np.int32))
-            self.roots.append(base)
-            base += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
+            steps = suffix_automaton(self.code[c])
+            # where a phrase ends, the next one starts at the root; a symbol without a step there is a phrase too
+            first = np.zeros(width, dtype=np.int32)
+            first[list(steps[0])] = list(steps[0].values())
+            self.tables.append((*packed(steps, width), first, np.where(first > 0, 1, 2).astype(np.int32)))
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """``[document, language]`` counts."""
-        n_blocks = np.array([-(-len(d) // BLOCK) for d in docs])
+        n_blocks = np.array([-(-len(d) // BLOCK) for d in docs], dtype=np.int64)
         total = int(n_blocks.sum())
         counts = np.zeros((len(docs), len(self.langs)), dtype=np.int64)
         if not total or not self.langs:
             return counts
         grid = np.zeros(total * BLOCK, dtype=np.uint16)
         firsts = np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
-        for d, f in zip(docs, firsts):
+        sizes = np.full(total, BLOCK, dtype=np.int64)
+        for d, f, n in zip(docs, firsts, n_blocks):
             grid[f * BLOCK : f * BLOCK + len(d)] = self.code[d]
-        steps = np.ascontiguousarray(grid.reshape(total, BLOCK).T)
-        owner = np.repeat(np.arange(len(docs)), n_blocks)
-        for k, root in enumerate(self.roots):
-            state = np.full(total, root, dtype=np.int32 if self.table.size < 1 << 31 else np.int64)
+            if n:
+                sizes[f + n - 1] = len(d) - (n - 1) * BLOCK
+        longest = np.argsort(-sizes, kind="stable")
+        columns = np.ascontiguousarray(grid.reshape(total, BLOCK)[longest].T)
+        active = total - np.searchsorted(np.sort(sizes), np.arange(BLOCK), side="right")  # blocks longer than a position
+        owners = np.repeat(np.arange(len(docs)), n_blocks)[longest]
+        for k, (base, owner, target, first, price) in enumerate(self.tables):
+            state = np.zeros(total, dtype=np.int32)
             ended = np.zeros(total, dtype=np.int32)
-            for symbol in steps:
-                got = self.table[state * self.width + symbol]
-                state = got >> 2
-                ended += got & 3
-            ended += state != root
-            counts[:, k] = np.bincount(owner, weights=ended, minlength=len(docs)).astype(np.int64)
+            for n, column in zip(active.tolist(), columns):
+                if not n:
+                    break
+                here, symbol = state[:n], column[:n]
+                cell = base[here] + symbol
+                to = target[cell]
+                stop = np.flatnonzero(owner[cell] != here)
+                if len(stop):
+                    c = symbol[stop]
+                    ended[stop] += price[c] - (here[stop] == 0)  # no phrase is open at the root
+                    to[stop] = first[c]
+                state[:n] = to
+            ended += state != 0
+            counts[:, k] = np.bincount(owners, weights=ended, minlength=len(docs)).astype(np.int64)
         return counts
 
     def decide(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
@@ -196,11 +233,11 @@ def identify(docs: DataFrame, samples: Samples, *, text: str = "text", keep: lis
 
     A text that is null or holds no letter is ``und`` with score 0; so is every text if no labelled text was given. Equal
     texts get equal results; ties go to the first language by name. Blocks of one batch are parsed side by side, so a
-    very long text costs no more than as many short ones. No row gives no row. Where ``docs`` has columns named
-    ``lang_pred`` or ``score``, leave them out of ``keep``.
+    very long text costs no more than as many short ones. No row gives no row. Columns named ``lang_pred`` or ``score``
+    give way to the new ones.
     """
     carried = fresh(docs, "lang_text")
-    kept = docs.select(*[col(c) for c in (docs.columns if keep is None else keep)])
+    kept = without(docs.select(*[col(c) for c in (docs.columns if keep is None else keep)]), "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None

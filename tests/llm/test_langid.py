@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorloom.llm.langid import BLOCK, Parser, Samples, accept, identify, learn, symbols
+from sensorloom.llm.langid import BLOCK, Parser, Samples, accept, identify, learn, packed, suffix_automaton, symbols
 
 TRAIN = Samples(("de", "en"), ("der hund und die katze schlafen auf dem warmen sofa im haus", "the dog and the cat sleep on the warm sofa in the house"))
 
@@ -29,6 +31,35 @@ def test_phrases_match_plain_search():
     assert got.tolist() == want
 
 
+def test_packed_steps():
+    rng = random.Random(5)
+    for letters, n in ((2, 300), (40, 700), (3000, 900), (5, 0)):
+        steps = suffix_automaton(np.array([rng.randrange(letters) for _ in range(n)], dtype=np.uint16))
+        base, owner, target = packed(steps, letters)
+        for s, out in enumerate(steps):
+            held = {c: int(target[base[s] + c]) for c in range(letters) if owner[base[s] + c] == s}
+            assert held == out
+        assert (owner >= 0).sum() == sum(map(len, steps))
+
+
+def test_languages_of_many_letters():
+    rng = random.Random(9)
+    samples = ["".join(chr(0x4E00 + min(int(rng.expovariate(0.002)), 6000)) for _ in range(24_000)) for _ in range(3)]
+    parser = Parser(Samples(("x", "y", "z"), tuple(samples)))
+    assert sum(a.nbytes for t in parser.tables for a in t) < 20 << 20
+    docs = [samples[0][500:900], samples[1][20_000:20_700] + "\u9fff tail", samples[2][:40][::-1]]
+    want = [[plain_phrases(d, t) for t in samples] for d in docs]
+    assert parser.phrases([symbols(d) for d in docs]).tolist() == want
+    assert parser.decide(docs[:2])[0] == ["x", "y"]
+
+
+def test_clashing_names_give_way(odd):
+    wide = odd.withColumn("Lang_Pred", F.lit("x")).drop("lang_pred", "score").withColumn("SCORE", F.lit("x"))
+    out = identify(wide, TRAIN)
+    assert [c for c in out.columns if c.lower() in ("lang_pred", "score")] == ["lang_pred", "score"]
+    assert identify(odd, TRAIN).select("doc_id", "lang_pred").count() == 14
+
+
 def test_decisions(plain):
     docs = plain([(1, "the warm house"), (2, "das warme haus und der hund"), (3, None), (4, "12 34 !"), (5, "")])
     got = {r.doc_id: r for r in identify(docs, TRAIN, keep=["doc_id"]).collect()}
