@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom.catalog.base import Catalog, site_minutes, sql, table
 from sensorloom.functions import names as nm
 from sensorloom.functions.numeric import unit_interval
-from sensorloom.functions.timekit import from_local, local_date, parse_time, to_local
+from sensorloom.functions.timekit import from_local, local_date, parse_time, shift_minutes, to_local
 from sensorloom.operators import clean
 
 CATALOG = Catalog()
@@ -91,6 +91,24 @@ def local_time_shift(spark, d):
     )
 
 
+# clocks went forward on the first Sunday of April, 7:00 UTC, and back on the last Sunday of October, 6:00 UTC
+_CLOCKS = """placed AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey * 7 % 1440 AS BIGINT)) AS ts FROM orders),
+sundays AS (SELECT *, make_timestamp(year(ts), 4, 1, 7, 0, 0) + to_days(CAST((7 - dayofweek(make_date(year(ts), 4, 1))) % 7 AS INT)) AS spring,
+    make_timestamp(year(ts), 10, 31, 6, 0, 0) - to_days(CAST(dayofweek(make_date(year(ts), 10, 31)) AS INT)) AS fall FROM placed),
+local_ AS (SELECT o_orderkey, ts, ts - to_hours(CASE WHEN ts >= spring AND ts < fall THEN 4 ELSE 5 END) AS local_ts FROM sundays)"""
+
+
+@add(
+    "local_time_over_clock_changes",
+    f"""WITH {_CLOCKS} SELECT o_orderkey, ts, local_ts, CAST(local_ts AS DATE) AS local_date FROM local_""",
+)
+def local_time_over_clock_changes(spark, d):
+    """Wall-clock times and dates of instants in winter and in summer time, some within an hour of the change."""
+    minute = F.col("o_orderkey") * 7 % 1440
+    placed = table(spark, d, "orders").select("o_orderkey", shift_minutes("o_orderdate", minute).alias("ts"))
+    return placed.select("o_orderkey", "ts", to_local("ts").alias("local_ts"), local_date("ts").alias("local_date"))
+
+
 @add("time_column_choice", "SELECT o_orderkey, o_orderdate AS ts FROM orders")
 def time_column_choice(spark, d):
     o = table(spark, d, "orders").select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom import plant
@@ -11,7 +13,7 @@ from sensorloom.functions.names import fix_spelling
 from sensorloom.operators.clean import clip_time, coerce
 from sensorloom.operators.report import table_range
 from sensorloom.sources import delimited as dl
-from sensorloom.sources.sinks import settle
+from sensorloom.sources.sinks import settle, shared_folder, write_lines
 from sensorloom.sources.tables import check_optional_table, parse_optional_dates
 
 CATALOG = Catalog()
@@ -29,55 +31,74 @@ def _with_top(data: DataFrame, top: list[str]) -> DataFrame:
     return rows.withColumn("block", F.lit(0).cast("long")).select("file", "block", "seq", "line")
 
 
-def logger_lines(spark, d) -> DataFrame:
-    """One gas logger file per event type: preamble, header, quoted times."""
+def _as_files(lines: DataFrame) -> str:
+    """Write the lines as text files; returns what the loaders take."""
+    place = f"{shared_folder(lines.sparkSession)}/exports-{uuid.uuid4().hex}"
+    write_lines(lines, place, ["block", "seq"])
+    return f"{place}/*"
+
+
+def _type_and_day() -> Column:
+    """A file for each event type and day, so that no file grows with the record."""
+    return F.concat_ws("-", "event_type", F.date_format("ts", "yyyyMMdd"))
+
+
+def logger_lines(spark, d, file: str | Column = "event_type") -> DataFrame:
+    """One gas logger file per event type, or per ``file``: preamble, header, quoted times."""
     ev = table(spark, d, "events")
     line = F.concat(
         F.lit('"'), F.date_format("ts", "M-d-yyyy, h-mm-ss a"), F.lit('",'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(","), F.col("value").cast("string"), F.lit(","), F.col("user_id").cast("string"),
     )
-    data = ev.select(F.col("event_type").alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
+    data = ev.select((F.col(file) if isinstance(file, str) else file).alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
     preamble = [f"Device setting {i}" for i in range(plant.PREAMBLE_LINES)]
     return _with_top(data, [*preamble, "Time Stamp,ISO time,Gas Level (PPM),User"])
 
 
-@add(
-    "sensor_log_load",
-    sql(
-        """SELECT ts, isotime AS gas_iso_time, value AS gas_gas_level_ppm, user_id AS gas_user FROM (
-             SELECT date_trunc('second', ts) AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS isotime, value, user_id,
-               row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_type, event_id) AS r FROM events)
-           WHERE r = 1""",
-        rounded="gas_gas_level_ppm gas_user",
-    ),
+_LOGGED = sql(
+    """SELECT ts, isotime AS gas_iso_time, value AS gas_gas_level_ppm, user_id AS gas_user FROM (
+         SELECT date_trunc('second', ts) AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS isotime, value, user_id,
+           row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_type, event_id) AS r FROM events)
+       WHERE r = 1""",
+    rounded="gas_gas_level_ppm gas_user",
 )
+
+
+@add("sensor_log_load", _LOGGED)
 def sensor_log_load(spark, d):
     lines = logger_lines(spark, d)
     parsed = dl.parse_lines(lines, settle(dl.fixed_header(lines)), time_label="Time Stamp", prefix="gas_")
     return coerce(dl.one_per_time(parsed), ["gas_gas_level_ppm", "gas_user"], [])
 
 
-def export_lines(spark, d) -> DataFrame:
+@add("sensor_log_files", _LOGGED)
+def sensor_log_files(spark, d):
+    """The same logs, a text file for each type and day, through the loader: lines are read, numbered and parsed."""
+    path = _as_files(logger_lines(spark, d, _type_and_day()))
+    return coerce(dl.load_sensor_logs(spark, path, "gas_"), ["gas_gas_level_ppm", "gas_user"], [])
+
+
+def export_lines(spark, d, file: str | Column = "event_type") -> DataFrame:
     """Plant flow exports with a generic first header row and a misspelt real one."""
     ev = table(spark, d, "events")
     line = F.concat_ws(",", F.date_format("ts", "M/d/yy h:mm:ss a"), F.col("value").cast("string"), F.col("user_id").cast("string"))
-    data = ev.select(F.col("event_type").alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
+    data = ev.select((F.col(file) if isinstance(file, str) else file).alias("file"), F.col("event_id").alias("seq"), line.alias("line"))
     return _with_top(
         data,
         ["Time,Digesters Sludge Out Flow,Unnamed: 2", "Time,West Sludge Out (GPM),Eest Sludge Out (GPM)"],
     )
 
 
-@add(
-    "flow_export_load",
-    sql(
-        """SELECT ts, value AS west_sludge_out_gpm, CAST(user_id AS DOUBLE) AS east_sludge_out_gpm FROM (
-             SELECT date_trunc('second', ts) AS ts, value, user_id,
-               row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_type, event_id) AS r FROM events)
-           WHERE r = 1""",
-        rounded="west_sludge_out_gpm east_sludge_out_gpm",
-    ),
+_EXPORTED = sql(
+    """SELECT ts, value AS west_sludge_out_gpm, CAST(user_id AS DOUBLE) AS east_sludge_out_gpm FROM (
+         SELECT date_trunc('second', ts) AS ts, value, user_id,
+           row_number() OVER (PARTITION BY date_trunc('second', ts) ORDER BY event_type, event_id) AS r FROM events)
+       WHERE r = 1""",
+    rounded="west_sludge_out_gpm east_sludge_out_gpm",
 )
+
+
+@add("flow_export_load", _EXPORTED)
 def flow_export_load(spark, d):
     lines = export_lines(spark, d)
     parsed = dl.one_per_time(dl.parse_lines(lines, settle(dl.best_header(lines)), time_label="Time"))
@@ -85,6 +106,13 @@ def flow_export_load(spark, d):
     return coerce(named, [plant.WEST, plant.EAST], [])
 
 
+@add("flow_export_files", _EXPORTED)
+def flow_export_files(spark, d):
+    """The same exports, a text file for each type and day, through the loader."""
+    path = _as_files(export_lines(spark, d, _type_and_day()))
+    return coerce(fix_spelling(dl.load_flow_exports(spark, path), plant.MISSPELT), [plant.WEST, plant.EAST], [])
+
+
 @add(
     "header_row_choice",
     """SELECT f AS file, CAST(CASE kind WHEN 'best' THEN 1 WHEN 'marker' THEN 8 ELSE 0 END AS BIGINT) AS header_no, kind

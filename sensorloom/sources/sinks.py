@@ -25,6 +25,12 @@ def _checkpoint_ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors reach."""
+    _checkpoint_ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows once to the checkpoint folder and go on from there."""
     _checkpoint_ready(df.sparkSession)
@@ -69,6 +75,17 @@ def write_small(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_lines(lines: DataFrame, path: str, order: Sequence[str], *, file: str = "file", line: str = "line") -> None:
+    """Text files, a folder for each value of ``file``, whose lines follow ``order``. A file is written by one task."""
+    (
+        lines.repartition(col(file))
+        .sortWithinPartitions(col(file), *[col(c) for c in order])
+        .select(col(file), col(line))
+        .write.partitionBy(file)
+        .text(path)
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

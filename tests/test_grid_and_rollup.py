@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from sensorloom import plant
+from sensorloom.functions.timekit import from_local, to_local
 from sensorloom.operators import dosing, grid, rollup
 from sensorloom.operators.clean import clip_time
 
@@ -228,3 +229,28 @@ def test_operating_calendar(spark):
     assert got["sensor_valid"].tolist() == [1, 1, 1, 0, 0]
     assert got["ferric_reduced_rate"].tolist() == [0, 0, 0, 0, 1]
     assert got["truck_activity_proxy"].tolist() == [0, 0, 1, 0, 1]
+
+
+def test_local_days_over_clock_changes(spark):
+    pdf = pd.concat(
+        [pd.DataFrame({"ts": minutes(96, start, "30min")}) for start in ("2025-11-01 12:00", "2026-03-07 12:00")], ignore_index=True
+    )
+    pdf["mean"] = pdf["peak"] = np.arange(len(pdf), dtype=float) ** 1.5
+    wall = pdf.ts.dt.tz_localize("UTC").dt.tz_convert("US/Eastern")
+    want = pdf.assign(local_date=wall.dt.date).groupby("local_date").agg(mean=("mean", "mean"), peak=("peak", "max"), n=("ts", "size"))
+    assert {50, 46} <= set(want.n)  # a day of 25 hours and one of 23
+    df = frame(spark, pdf)
+    got = pandas_of(rollup.local_daily(df, "ts", means=["mean"], maxima=["peak"]), ["local_date"])
+    assert got["local_date"].tolist() == want.index.tolist()
+    same(got["mean"], want["mean"])
+    same(got["peak"], want["peak"])
+    shown = df.select("ts", to_local("ts").alias("wall")).toPandas().sort_values("ts")
+    assert shown.wall.tolist() == wall.dt.tz_localize(None).tolist()
+
+
+def test_wall_clock_to_instant_over_clock_changes(spark):
+    sure = minutes(200, "2026-03-07 20:00", "7min").append(minutes(200, "2025-11-01 00:00", "7min"))
+    sure = sure[(sure < "2026-03-08 02:00") | (sure >= "2026-03-08 03:00")]  # that hour was skipped
+    want = sure.tz_localize("US/Eastern", ambiguous="raise").tz_convert("UTC").tz_localize(None)
+    got = frame(spark, pd.DataFrame({"wall": sure})).select("wall", from_local("wall").alias("ts")).toPandas()
+    assert sorted(got.ts) == sorted(want)
