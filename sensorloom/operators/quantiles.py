@@ -42,9 +42,14 @@ def exact_quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     stored: bool = False,
+    overall: str | None = None,
 ) -> DataFrame:
     """One row per group with a column per probability. Null values and null groups are left out.
 
+    With ``overall`` a row for the whole table follows, null groups included: its keys are null and the boolean column
+    of that name is true. Its histogram is the sum of those of the groups; beyond that, rows count twice only in
+    the cells that hold one of its ranks.
+
     Set ``stored`` when ``df`` is a cheap scan: the two rank tables are then made
     first (small jobs), and broadcast if their counted size allows.
 
@@ -54,7 +59,7 @@ def exact_quantiles(
     names = list(names or [f"q{i}" for i in range(len(probs))])
     group = [col(k) for k in by]
     counts = df.select(*group, col(value).cast("double").alias("__v")).dropna(
-        subset=["__v", *[f"`{k}`" for k in by]]
+        subset=["__v", *([] if overall else [f"`{k}`" for k in by])]
     )
     if stored:
         counts = counts.withColumn("__n", F.lit(1).cast("long"))
@@ -71,9 +76,32 @@ def exact_quantiles(
         "__cell", F.shiftright(F.col("__fine"), _COARSE)
     )
 
+    def own_or_none() -> list[Column]:
+        return [F.when(~F.col("__all"), col(k)).alias(k) for k in by]
+
+    def met(t: DataFrame, wanted: DataFrame, at: str) -> DataFrame:
+        """The rows of ``t`` in the wanted cells of their group, and of the whole table."""
+        if not overall:
+            return t.join(wanted, [*by, at])
+        # two cells a probability
+        near = F.broadcast(wanted.where("__all").select(at, F.lit(True).alias("__near")).distinct())
+        twice = F.when(F.col("__near"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        t = t.join(near, at, "left").withColumn("__all", F.explode(twice))
+        t = t.select(*own_or_none(), *[c for c in t.columns if c not in by])
+        keys = [*by, "__all", at]
+        right = wanted.withColumnsRenamed({k: f"__want{i}" for i, k in enumerate(keys)})
+        same = [col(k).eqNullSafe(F.col(f"__want{i}")) for i, k in enumerate(keys)]
+        return t.join(right, same).drop(*[f"__want{i}" for i in range(len(keys))])
+
     # level 1: histogram of coarse cells, then the cell of each wanted rank
-    everything = Window.partitionBy(*group)
     hist = coded.groupBy(*group, "__cell").agg(F.sum("__n").alias("__n"))
+    if overall:
+        hist = hist.withColumn("__all", F.explode(F.array(F.lit(False), F.lit(True))))
+        for k in by:
+            hist = hist.where(F.col("__all") | col(k).isNotNull())
+        hist = hist.groupBy(*own_or_none(), "__all", "__cell").agg(F.sum("__n").alias("__n"))
+        group = [*group, F.col("__all")]
+    everything = Window.partitionBy(*group)
     hist = hist.withColumn("__cum", F.sum("__n").over(everything.orderBy("__cell"))).withColumn(
         "__total", F.sum("__n").over(everything)
     )
@@ -98,14 +126,14 @@ def exact_quantiles(
     wanted = ranks(wanted.where(hit).select(*keep, rest, "__cell"))
 
     # level 2: only values of the wanted cells, split by fine cell
-    ask = [*by, "__i", "__up"]
+    ask = [*by, *(["__all"] if overall else []), "__i", "__up"]
     part = Window.partitionBy(*[col(k) for k in ask])
-    fine = coded.join(wanted, [*by, "__cell"]).groupBy(*[col(k) for k in ask], "__share", "__rank", "__fine")
+    fine = met(coded, wanted, "__cell").groupBy(*[col(k) for k in ask], "__share", "__rank", "__fine")
     fine = fine.agg(F.sum("__n").alias("__n")).withColumn("__cum", F.sum("__n").over(part.orderBy("__fine")))
     narrowed = ranks(fine.where(hit).select(*[col(k) for k in ask], "__share", rest, "__fine"))
 
     # leaf: order the few values that are left
-    leaf = coded.select(*group, "__fine", "__v", "__n").join(narrowed, [*by, "__fine"])
+    leaf = met(coded.select(*[col(k) for k in by], "__fine", "__v", "__n"), narrowed, "__fine")
     leaf = leaf.groupBy(*[col(k) for k in ask], "__share", "__rank", "__v").agg(F.sum("__n").alias("__n"))
     leaf = leaf.withColumn("__cum", F.sum("__n").over(part.orderBy("__v"))).where(hit)
 
@@ -116,7 +144,8 @@ def exact_quantiles(
         share = F.max(F.when(F.col("__i") == i, F.col("__share")))
         return (F.lit(1.0) - share) * side(i, False) + share * side(i, True)
 
-    return leaf.groupBy(*group).agg(*[at(i).alias(n) for i, n in enumerate(names)])
+    found = leaf.groupBy(*group).agg(*[at(i).alias(n) for i, n in enumerate(names)])
+    return found.withColumnRenamed("__all", overall) if overall else found
 
 
 def sorted_quantiles(

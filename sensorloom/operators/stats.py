@@ -270,25 +270,25 @@ def phase_extent(df: DataFrame, phase: str, day: str) -> DataFrame:
 def box_summary(df: DataFrame, phase: str, value: str, *, stored: bool = False) -> DataFrame:
     """Quartiles, mean ± SD per phase, and whether a log axis is advised for the whole column.
 
-    Each row counts for its phase and for the whole, so one search finds all ranks and one aggregate the rest.
+    One search finds the ranks of each phase and of the whole, and one aggregate the rest. Rows without a phase count for
+    the whole only.
     """
-    v = col(value).cast("double")
-    groups = F.array_compact(F.array(F.lit(""), F.when(col(phase).isNotNull(), F.concat(F.lit("/"), col(phase).cast("string")))))
-    have = df.select(v.alias("v"), F.explode(groups).alias("g"), col(phase).alias("phase"))
-    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["g"], names=["q1", "median", "q3"], stored=stored)
-    basic = have.groupBy("g").agg(
-        F.first("phase").alias("phase"),
+    have = df.select(col(value).cast("double").alias("v"), col(phase).alias("phase"))
+    quart = exact_quantiles(have, "v", [0.25, 0.5, 0.75], by=["phase"], names=["q1", "median", "q3"], stored=stored, overall="all")
+    basic = have.groupBy("phase").agg(
         F.count("v").alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("sd"),
     )
-    each = basic.join(quart, "g", "left").withColumn("all", F.col("g") == "")
-    whole = F.max(F.when(F.col("all"), F.struct((F.col("high") > 10 * F.col("median")).alias("x")))).over(Window.partitionBy(F.lit(0)))
-    return (  # a row a phase
-        each.withColumn("log_axis", whole["x"])
-        .where("not all")
+    found = quart.withColumnRenamed("phase", "of")
+    each = basic.join(found, F.col("phase").eqNullSafe(F.col("of")) & ~F.col("all"), "full")
+    once = Window.partitionBy(F.lit(0))  # a row a phase
+    log_axis = F.max("high").over(once) > 10 * F.max(F.when(F.col("all"), F.col("median"))).over(once)
+    return (
+        each.withColumn("log_axis", log_axis)
+        .where("phase IS NOT NULL")
         .select("phase", "n", "low", "q1", "median", "q3", "high", "mean", "sd", "log_axis")
     )
 
