@@ -55,9 +55,10 @@ def _rows(spark, d):
         filled_grid(spark, d), "ts", gases={"v": "v"}, raw=[], horizons=[60], limits={"v": 60.0}, keys=["k"]
     )
     usable = led.withColumn("ok", (F.col("v").isNull() | (F.col("v") < 400)).cast("int"))
-    # the split and the training median read the table again, so it is written once
-    rows = model.model_rows(settle(usable), "ts", "v_t_plus_60min", "ok", keys=["k"])
-    return settle(rows.select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "model_split"))
+    # the split reads its rows twice and the training median the split ones, so each is written once, with its five columns
+    usable = usable.where("ok = 1 AND v_t_plus_60min IS NOT NULL").select("k", "ts", "v", F.col("v_t_plus_60min").alias("y"), "ok")
+    rows = model.model_rows(settle(usable), "ts", "y", "ok", keys=["k"])
+    return settle(rows.drop("ok"))
 
 
 @add("model_rows", _with_rows(sql("SELECT k, ts, y, model_split FROM rows_", "filled", "y")))
